@@ -60,7 +60,7 @@ def stored_for(batch: DataFrame, target: DataFrame, key: str = "url") -> DataFra
 def cached_then_live(cached: DataFrame, live: DataFrame, order: list[str],
                      key: str = "url") -> DataFrame:
     """Stored rows (unique by `key`), then live rows whose key is not stored."""
-    new = first_wins(fresh(live, cached, key), [key], order)
+    new = fresh(first_wins(live, [key], order), cached, key)
     return (
         cached.withColumn("cached", F.lit(True))
         .unionByName(new.withColumn("cached", F.lit(False)))

@@ -13,7 +13,7 @@ from loomline.plans.fixtures import (
 from loomline.sources import tables
 from loomline.staging import stage
 
-SNAPSHOT = "1995-01-01"
+SNAPSHOT = "1998-01-01"
 SHOWN = ["id", "brand", "title", "price", "currency", "url", "category", "country", "gender"]
 SHOWN_SQL = ", ".join(SHOWN)
 

@@ -36,11 +36,12 @@ def insert_if_absent(batch: DataFrame, target: DataFrame | None, order: list[str
     """The rows of `batch` that a table unique by `key` would take.
 
     First row of a key wins within the batch; keys already stored are ignored,
-    so prices never refresh. Only the key column of the target is read.
+    so prices never refresh. Keys are made unique first: repeats of a hot key
+    are gone before the shuffle, and the anti join reuses its partitioning. Only
+    the key column of the target is read.
     """
-    if target is not None:
-        batch = fresh(batch, target, key)
-    return first_wins(batch, [key], order)
+    first = first_wins(batch, [key], order)
+    return first if target is None else fresh(first, target, key)
 
 
 def append_new(batch: DataFrame, path: str, order: list[str], key: str = "url",
