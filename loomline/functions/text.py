@@ -32,8 +32,10 @@ def strip(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics on Latin letters."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without diacritics on Latin letters; plain ASCII skips the latter."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    lowered = F.lower(text)
+    return F.when(ascii_only, lowered).otherwise(F.translate(lowered, ACCENTED, PLAIN))
 
 
 def words(text: Column) -> Column:

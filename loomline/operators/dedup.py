@@ -35,15 +35,26 @@ def dedup(df: DataFrame, keys: list[str] = rules.DUPLICATE_KEYS,
     return first_wins(df, keys, order or [])
 
 
+GROUP_LIMIT = 1000  # largest rank bound Spark applies below the shuffle
+LANES = 64
+
+
 def topk_per(df: DataFrame, part: list[str], order: list[Column], k: int,
              offset: int = 0, column: str = "rank") -> DataFrame:
     """Ranks `offset + 1 .. offset + k` of every part.
 
-    The bound on the rank reaches below the shuffle (window group limit), so a
-    task ships at most `offset + k` rows of a part.
+    A bound on the rank reaches below the shuffle (window group limit), so a
+    task ships at most that many rows of a part. Spark does so up to a bound of
+    1000; beyond it, rows are ranked in lanes first, so that a hot part is
+    sorted by many tasks and only the best of each lane meet in one.
     """
+    last = offset + k
+    if last > GROUP_LIMIT:
+        laned = df.withColumn("_lane", F.pmod(F.xxhash64(*df.columns), F.lit(LANES)))
+        seat = F.row_number().over(Window.partitionBy(*part, "_lane").orderBy(*order))
+        df = laned.withColumn("_seat", seat).where(F.col("_seat") <= last).drop("_lane", "_seat")
     place = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    ranked = df.withColumn(column, place).where(F.col(column) <= offset + k)
+    ranked = df.withColumn(column, place).where(F.col(column) <= last)
     return ranked.where(F.col(column) > offset) if offset else ranked
 
 

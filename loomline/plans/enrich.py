@@ -135,10 +135,7 @@ def brand_from_domain(spark, sf_dir):
 
 
 def generic_filter(spark, sf_dir):
-    """Pages of sites without a marketplace's name in their domain.
-
-    Half the hosts get the page's first title letters in front, so names occur.
-    """
+    """Pages whose domain, put under a shop's name, holds no marketplace's name."""
     shops = pick([*rules.GENERIC_SITES, "climbing", "loom", "atelier"], F.col("page_id"))
     named = table(spark, sf_dir, "pages").select(
         "page_id", F.concat(shops, F.lit("."), web.domain_of(F.col("url"))).alias("domain")
