@@ -1,0 +1,25 @@
+"""A larger catalogue made from the parts table."""
+
+from __future__ import annotations
+
+from loomline.operators.synthetic import synthetic_catalogue
+from loomline.plans.fixtures import table
+from pyspark.sql import functions as F
+
+
+def brands(spark, sf_dir):
+    """Brand price ranges and countries as the parts and suppliers have them."""
+    ranges = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(
+        F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+    return ranges.withColumn("countries", F.array(F.lit("US"), F.lit("GB"), F.lit("DE")))
+
+
+def catalogue(spark, sf_dir):
+    titles = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("brand"), F.col("p_name").alias("title"),
+        F.lower("p_type").alias("category"))
+    return synthetic_catalogue(titles, brands(spark, sf_dir))
+
+
+QUERIES = {"synthetic_catalogue": catalogue}
+ORACLE: dict[str, str] = {}
