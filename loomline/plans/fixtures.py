@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomline.functions import web
 from loomline.functions.text import ACCENTED, PLAIN
+from loomline.staging import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def facts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that work is done on row by row."""
+    return spread(table(spark, sf_dir, name))
+
+
 # ---- listings: lineitem with its part, supplier and nation -------------------
 
 LISTING_SELECT = [
@@ -60,7 +66,7 @@ FIRST_SEEN_SQL = "scraped_at, id, price, brand, title"
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings with planted defects; sizes and colors are arrays."""
     joined = (
-        table(spark, sf_dir, "lineitem")
+        facts(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -100,7 +106,7 @@ def garments(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(name) for name in GARMENTS])
     paths = F.array(*[F.lit(path) for path in PATHS])
     host = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
-    return table(spark, sf_dir, "part").select(
+    return facts(spark, sf_dir, "part").select(
         "p_partkey", "p_brand", "p_size", "p_type", "p_retailprice",
         F.concat("p_name", F.lit(" "), F.get(names, F.col("p_size") % len(GARMENTS))).alias("title"),
         F.concat(
