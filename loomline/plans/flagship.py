@@ -19,7 +19,7 @@ QUERIES = {"flagship": flagship}
 
 ORACLE = {
     "flagship": f"""WITH {CLEAN_SQL},
-        M AS (SELECT brand, quantile_disc(price, 0.5) AS m FROM C GROUP BY brand),
-        K AS (SELECT C.* FROM C JOIN M ON C.brand = M.brand WHERE price < m * 10 QUALIFY {FIRST})
+        M AS (SELECT brand AS b, quantile_disc(price, 0.5) AS m FROM C GROUP BY brand),
+        K AS (SELECT C.* FROM C JOIN M ON brand = b WHERE price < m * 10 QUALIFY {FIRST})
         SELECT brand, count(*) AS n FROM K GROUP BY brand""",
 }
