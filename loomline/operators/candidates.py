@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomline import rules
 from loomline.functions import web
 from loomline.operators.dedup import first_wins, topk_per
-from loomline.operators.registry import country_name
+from loomline.operators.registry import country_currency, country_name
 
 
 def extract_links(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:
@@ -57,12 +57,24 @@ def plan_candidates(candidates: DataFrame, latest: DataFrame, max_new: int,
     """
     open_ones = blocked_skipped(candidates, latest)
     if scored is not None:
-        chances = scored.select("domain", "probability").dropDuplicates(["domain"])
-        open_ones = likely(open_ones.join(chances, "domain", "left"))
+        keys = [name for name in ("country", "domain") if name in scored.columns]
+        chances = scored.select(*keys, "probability").dropDuplicates(keys)
+        open_ones = likely(open_ones.join(chances, keys, "left"))
     order = [F.col("position"), F.col("domain")]
     return topk_per(open_ones, ["country"], order, max_new, column="turn")
 
 
+def as_brands(tried: DataFrame, platform: str = "shopify") -> DataFrame:
+    """Tried candidates that worked (`success = 1`) as registry entries."""
+    return tried.where(F.col("success") == 1).select(
+        web.brand_from_domain(F.col("domain")).alias("name"), "base_url",
+        F.upper("country").alias("primary_country"),
+        F.array().cast("array<string>").alias("also_ships_to"),
+        country_currency(F.col("country")).alias("currency"),
+        F.lit(platform).alias("platform"),
+    )
+
+
 def discovery_plan(cycles: DataFrame, cycle: str = "cycle",
                    queries: list[str] = rules.DISCOVERY_QUERIES,
                    countries: list[str] = rules.COUNTRY_CODES) -> DataFrame:

@@ -55,7 +55,9 @@ def topk_per(df: DataFrame, part: list[str], order: list[Column], k: int,
         df = laned.withColumn("_seat", seat).where(F.col("_seat") <= last).drop("_lane", "_seat")
     place = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
     ranked = df.withColumn(column, place).where(F.col(column) <= last)
-    return ranked.where(F.col(column) > offset) if offset else ranked
+    if offset:
+        ranked = ranked.where(F.col(column) > offset)
+    return ranked.withColumn(column, F.col(column).cast("bigint"))
 
 
 def fresh(df: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:

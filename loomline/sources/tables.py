@@ -48,15 +48,15 @@ def append_new(batch: DataFrame, path: str, order: list[str], key: str = "url",
                partition_by: list[str] = ["country"]) -> None:
     """Insert-if-absent into the table at `path`; a replayed batch adds nothing.
 
-    Files are sized by an adaptive rebalance, which splits partitions of hot
-    countries and merges those of small ones.
+    Stored rows get an `id`, the 64-bit fingerprint of their key (the key itself
+    is what is unique), and the time of storing. Files are sized by an adaptive
+    rebalance, which splits partitions of hot countries and merges small ones.
     """
     spark = batch.sparkSession
     new = insert_if_absent(batch, table_or_none(spark, path), order, key)
-    timed = new.withColumn("scraped_at", F.coalesce("scraped_at", F.current_timestamp())) \
-        if "scraped_at" in new.columns else new.withColumn("scraped_at", F.current_timestamp())
     (
-        timed.select(*STORED_COLUMNS, "scraped_at").hint("rebalance", *partition_by)
+        new.withColumns({"id": F.xxhash64(key), "scraped_at": F.current_timestamp()})
+        .select("id", *STORED_COLUMNS, "scraped_at").hint("rebalance", *partition_by)
         .write.mode("append").partitionBy(*partition_by).parquet(path)
     )
 

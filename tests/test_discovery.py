@@ -89,3 +89,19 @@ def test_plan_rotates_queries(spark):
     rows = {(r.cycle, r.country): r for r in plan.collect()}
     assert len(rows) == 20
     assert rows[(16, "GB")].phrase == "t-shirt clothing brand online shop United Kingdom"
+
+
+def test_one_round_of_discovery(spark):
+    """Plan, try, remember, register: what was tried is known the next time."""
+    found = spark.createDataFrame(
+        [("GB", f"https://d{n}.uk", f"d{n}.uk", n) for n in range(4)],
+        "country string, base_url string, domain string, position int")
+    log = spark.createDataFrame([("d0.uk", "GB", 0, 1)], "domain string, country string, success int, ts long")
+    plan = candidates.plan_candidates(found, outcomes.latest_outcomes(log), 2)
+    tried = plan.withColumn("success", (F.col("domain") == "d2.uk").cast("int"))
+    assert {r.domain for r in tried.collect()} == {"d1.uk", "d2.uk"}
+    brands = candidates.as_brands(tried).collect()
+    assert [(r.name, r.base_url, r.currency) for r in brands] == [("D2", "https://d2.uk", "GBP")]
+    later = log.unionByName(tried.select("domain", "country", "success", F.lit(2).cast("long").alias("ts")))
+    again = candidates.plan_candidates(found, outcomes.latest_outcomes(later), 2)
+    assert {r.domain for r in again.collect()} == {"d2.uk", "d3.uk"}

@@ -41,6 +41,16 @@ def test_stream_equals_batch_however_it_is_cut(spark, tmp_path):
     assert "dear" not in want
 
 
+def test_callback_sees_every_batch(spark, tmp_path):
+    send(raw(spark), str(tmp_path / "in"), 2)
+    seen = []
+    run(spark, *[str(tmp_path / name) for name in ("in", "out", "progress")],
+        on_batch=lambda rows, epoch: seen.append((epoch, rows.count())))
+    assert [epoch for epoch, _ in seen] == [0, 1]
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert {"id", "scraped_at"} <= set(stored.columns)
+
+
 def test_restart_adds_nothing(spark, tmp_path):
     send(raw(spark), str(tmp_path / "in"), 2)
     paths = [str(tmp_path / name) for name in ("in", "out", "progress")]
