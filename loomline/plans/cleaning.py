@@ -50,8 +50,7 @@ def brand_median(spark, sf_dir):
 
 
 def outlier_filter(spark, sf_dir):
-    rows = stage(cleaned(spark, sf_dir), "cleaned")
-    return cleaning.outliers_removed(rows).select("id", "brand", "title", "price", "url")
+    return cleaning.outliers_removed(cleaned_once(spark, sf_dir)).select("id", "brand", "title", "price", "url")
 
 
 def outlier_events(spark, sf_dir):
@@ -59,30 +58,36 @@ def outlier_events(spark, sf_dir):
     return cleaning.outliers_removed(events, "event_type", "value")
 
 
-def snapshot(spark, sf_dir):
+def cleaned_once(spark, sf_dir):
+    """Cleaned listings, written once for queries that use them more than once."""
+    return stage(cleaned(spark, sf_dir), "cleaned")
+
+
+def snapshot(rows):
     """The stored table as of a day: the first row of every url until then."""
-    until = cleaned(spark, sf_dir).where(F.col("scraped_at") < SNAPSHOT)
-    return dedup.first_wins(until, ["url"], FIRST_SEEN)
+    return dedup.first_wins(rows.where(F.col("scraped_at") < SNAPSHOT), ["url"], FIRST_SEEN)
 
 
 def insert_if_absent(spark, sf_dir):
-    new = tables.insert_if_absent(cleaned(spark, sf_dir), snapshot(spark, sf_dir), FIRST_SEEN)
+    rows = cleaned_once(spark, sf_dir)
+    new = tables.insert_if_absent(rows, snapshot(rows), FIRST_SEEN)
     return new.select("id", "brand", "title", "price", "url", "country")
 
 
 def fresh_not_cached(spark, sf_dir):
-    return dedup.fresh(cleaned(spark, sf_dir), snapshot(spark, sf_dir)).select("id", "url", "price")
+    rows = cleaned_once(spark, sf_dir)
+    return dedup.fresh(rows, snapshot(rows)).select("id", "url", "price")
 
 
 def stored_for_batch(spark, sf_dir):
-    batch = cleaned(spark, sf_dir).where(F.col("scraped_at") >= SNAPSHOT)
-    return dedup.stored_for(batch, snapshot(spark, sf_dir)).select("id", "url", "price")
+    rows = cleaned_once(spark, sf_dir)
+    batch = rows.where(F.col("scraped_at") >= SNAPSHOT)
+    return dedup.stored_for(batch, snapshot(rows)).select("id", "url", "price")
 
 
 def cached_union_live(spark, sf_dir):
-    union = dedup.cached_then_live(
-        snapshot(spark, sf_dir), cleaned(spark, sf_dir), FIRST_SEEN
-    )
+    rows = cleaned_once(spark, sf_dir)
+    union = dedup.cached_then_live(snapshot(rows), rows, FIRST_SEEN)
     return union.select("id", "url", "price", "cached")
 
 
@@ -109,9 +114,10 @@ def with_defaults(spark, sf_dir):
 
 def price_refresh(spark, sf_dir):
     """The stored table when the newest row of a url wins instead of the first."""
-    later = cleaned(spark, sf_dir).where(F.col("scraped_at") >= SNAPSHOT)
-    rows = tables.upsert_latest(later, snapshot(spark, sf_dir), FIRST_SEEN)
-    return rows.select("id", "url", "price")
+    rows = cleaned_once(spark, sf_dir)
+    later = rows.where(F.col("scraped_at") >= SNAPSHOT)
+    refreshed = tables.upsert_latest(later, snapshot(rows), FIRST_SEEN)
+    return refreshed.select("id", "url", "price")
 
 
 QUERIES = {

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from loomline.operators import cleaning, reports
-from loomline.plans.cleaning import FIRST, cleaned
+from loomline.plans.cleaning import FIRST, cleaned_once
 from loomline.plans.fixtures import CLEAN_SQL, FIRST_SEEN
 from loomline.sources import tables
-from loomline.staging import stage
 
 
 def flagship(spark, sf_dir):
-    rows = stage(cleaned(spark, sf_dir), "cleaned")
-    stored = tables.insert_if_absent(cleaning.outliers_removed(rows), None, FIRST_SEEN)
+    rows = cleaning.outliers_removed(cleaned_once(spark, sf_dir))
+    stored = tables.insert_if_absent(rows, None, FIRST_SEEN)
     return reports.brand_counts(stored)
 
 
