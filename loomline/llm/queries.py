@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import mixing, ring
+from loomline.llm import mixing, ring, simhash, toxicity
 from loomline.llm.tables import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_report(table(spark, sf_dir, "documents"))
 
@@ -17,6 +27,8 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_near_duplicates": op3_near_duplicates,
     "op8_shards": op8_shards,
     "op10_mixture": op10_mixture,
 }
