@@ -3,7 +3,8 @@
 Terms are whole words and word beginnings. A term's score is the log-odds of toxic
 against other documents, each class smoothed by a Dirichlet prior that follows the
 pooled counts, so a term seen once says little. Words count by documents; beginnings
-count by distinct words, so one frequent word does not speak for all that start alike.
+count by distinct words, so one frequent word does not speak for all that start alike,
+and are in turn the prior of the words below them. A word repeated in a text scores once.
 Only significant terms are kept; every other token has one small negative score.
 
 A linear scan (all maximal scoring subsequences) finds every passage of a text whose
@@ -38,8 +39,8 @@ from loomline.staging import stage
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (6, 5, 4)
 PRIOR = 5.0
-LEAST_Z = 3.0
-LEAST_LOG_ODDS = 1.0
+LEAST_Z = 4.0
+LEAST_LOG_ODDS = 1.5
 FOLDS = 5
 CACHE = 1 << 18
 
@@ -103,10 +104,19 @@ def scan(text: str | None, scores: Scores, rest: float) -> tuple[int, list[tuple
     """Number of tokens, and the passages as token positions."""
     words = WORD.findall((text or "").lower())
     values = list(map(scores.__getitem__, words))
-    hits = [(i, value) for i, value in enumerate(values) if value > 0.0]
+    hits = first_uses(words, values)
     return len(words), passages(hits, rest) if hits else []
 
 
+def first_uses(words: list[str], values: list[float]) -> list[tuple[int, float]]:
+    """Positions and scores of scoring words, each where it first occurs."""
+    seen: dict[str, tuple[int, float]] = {}
+    for i, value in enumerate(values):
+        if value > 0.0:
+            seen.setdefault(words[i], (i, value))
+    return list(seen.values())
+
+
 def evidence(tokens: int, found: list[tuple[int, int, float]], model: Model) -> float:
     base = model.log_k + math.log(max(tokens, 1))
     if not found:
@@ -172,32 +182,43 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     ).first().asDict()
     if not total["ones"] or not total["zeros"]:
         return Model({}, -0.1)
-    beginnings = [F.when(F.length("term") > size, F.concat(F.substring("term", 1, size), F.lit("*")))
-                  for size in STEMS]
+    def starts(size: int) -> Column:
+        return F.when(F.length("term") > size,
+                      F.concat(F.substring("term", 1, size), F.lit("*")))
+
     stems = (
-        words.select(F.explode(F.filter(F.array(*beginnings), lambda x: x.isNotNull())).alias("term"),
+        words.select(F.explode(F.array_compact(F.array(*[starts(size) for size in STEMS])))
+                     .alias("term"),
                      F.least("ones", F.lit(1)).alias("ones"),
                      F.least("zeros", F.lit(1)).alias("zeros"))
         .groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     )
-    scored = log_odds(words, "ones", "zeros", total).union(
-        log_odds(stems, "ones", "zeros", {"ones": total["types"], "zeros": total["other_types"]})
+    types = {"ones": total["types"], "zeros": total["other_types"]}
+    strong = (F.col("z") >= LEAST_Z) & (F.col("log_odds") >= LEAST_LOG_ODDS)
+    best = [F.col("z").desc(), F.col("term")]
+    kept = stage(
+        log_odds(stems, "ones", "zeros", types).where(strong).orderBy(*best).limit(max_terms),
+        "stems",
     )
-    strong = scored.where((F.col("z") >= LEAST_Z) & (F.col("log_odds") >= LEAST_LOG_ODDS))
-    kept = strong.orderBy(F.col("z").desc(), "term").limit(max_terms).collect()
-    known = words.where("zeros + ones >= 20").where((F.col("zeros") > 0)).select("term")
-    terms = {row["term"]: row["log_odds"] for row in kept}
-    # A plain frequent word under a kept beginning stays plain: its own counts say so.
-    stems_kept = [term[:-1] for term in terms if term.endswith("*")]
-    if stems_kept:
-        begins = F.lit(False)
-        for size in STEMS:
-            of_size = [stem for stem in stems_kept if len(stem) == size]
-            if of_size:
-                begins = begins | F.substring("term", 1, size).isin(of_size)
-        plain = known.where(begins).orderBy("term").limit(max_terms).collect()
-        for row in plain:
-            terms.setdefault(row["term"], 0.0)
+    terms = {row["term"]: row["log_odds"] for row in kept.collect()}
+    for row in (log_odds(words, "ones", "zeros", total).where(strong).orderBy(*best)
+                .limit(max_terms).collect()):
+        terms[row["term"]] = row["log_odds"]
+    # Under a kept beginning, a word's prior is what its beginning says.
+    begun = (
+        words.select("term", "ones", "zeros", F.inline(F.array(*[
+            F.struct(F.lit(size).alias("size"), starts(size).alias("stem")) for size in STEMS])))
+        .join(F.broadcast(kept.select(F.col("term").alias("stem"),
+                                      F.col("log_odds").alias("prior"))), "stem")
+        .groupBy("term", "ones", "zeros").agg(F.max_by("prior", "size").alias("prior"))
+    )
+    shift = math.log(total["ones"] / total["zeros"])
+    chance = 1 / (1 + F.exp(-(F.col("prior") + shift)))
+    own = F.log((F.col("ones") + PRIOR * chance) / (F.col("zeros") + PRIOR * (1 - chance))) - shift
+    for row in (begun.select("term", own.alias("log_odds"), (F.col("ones") + F.col("zeros"))
+                             .alias("n")).orderBy(F.col("n").desc(), "term")
+                .limit(max_terms).collect()):
+        terms[row["term"]] = max(row["log_odds"], 0.0)
     model = Model(terms, -0.1)
     calibrate(spread, model)
     return model
@@ -230,7 +251,7 @@ def calibrate(texts: DataFrame, model: Model) -> None:
             for text, label in zip(batch["text"], batch["label"]):
                 words = WORD.findall(text.lower())
                 values = [scores[word] for word in words]
-                hits = [(i, v) for i, v in enumerate(values) if v > 0.0]
+                hits = first_uses(words, values)
                 found = passages(hits, rest) if hits else []
                 out.append((int(label), len(words), [p[2] for p in found], [v for _, v in hits]))
             yield pd.DataFrame(out, columns=["label", "tokens", "runs", "hits"])
