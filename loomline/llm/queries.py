@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import mixing, ring, simhash, toxicity
+from loomline.llm import decontam, mixing, oracles, ring, simhash, toxicity
 from loomline.llm.tables import table
 
 
@@ -18,6 +18,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontamination_report(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_report(table(spark, sf_dir, "documents"))
 
@@ -29,8 +35,11 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_decontamination": op4_decontamination,
     "op8_shards": op8_shards,
     "op10_mixture": op10_mixture,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_decontamination": oracles.DECONTAMINATION,
+}
