@@ -1,4 +1,60 @@
-"""Corpus preparation: stages are added as their operators arrive."""
+"""Corpus preparation in five stages, each written as Parquet and read by the next.
 
-QUERIES: dict = {}
+toxicity: documents that score as toxic go. near_duplicates: one document of each
+group of near copies stays. decontamination: documents with too many words from the
+benchmark go. mixing: sources are brought to their target weights, a row per copy
+taken. sharding: every row gets a shard and a slot. All but the last return the
+columns of the documents. The stages handle nulls, empty texts and tables, ties,
+repeated rows and extra columns as their operators state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomline.llm import decontam, mixing, ring, simhash, toxicity
+from loomline.llm.tables import table
+from loomline.staging import stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_corpus(docs)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ring.shard_report(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", assign_shards),
+]
+
+# Learned scores and XXH64 fingerprints are beyond SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"corpus-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
 ORACLE: dict[str, str] = {}
