@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import decontam, mixing, oracles, ring, simhash, toxicity
+from loomline.llm import decontam, mixing, oracles, ring, simhash, toxicity, warc
 from loomline.llm.tables import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -33,6 +37,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
@@ -41,5 +46,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_warc": oracles.WARC,
     "op4_decontamination": oracles.DECONTAMINATION,
 }
