@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import decontam, mixing, oracles, ring, simhash, toxicity, warc
+from loomline.llm import decontam, extract, mixing, oracles, ring, simhash, toxicity, warc
 from loomline.llm.tables import table
 
 
@@ -32,6 +32,10 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extraction_report(table(spark, sf_dir, "pages"))
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
     "op8_shards": op8_shards,
+    "op9_main_text": op9_main_text,
     "op10_mixture": op10_mixture,
 }
 
