@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomline.llm.labelled import held_out, training_texts
 from loomline.staging import stage
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -41,7 +42,6 @@ STEMS = (6, 5, 4)
 PRIOR = 5.0
 LEAST_Z = 4.0
 LEAST_LOG_ODDS = 1.5
-FOLDS = 5
 CACHE = 1 << 18
 
 
@@ -126,24 +126,6 @@ def evidence(tokens: int, found: list[tuple[int, int, float]], model: Model) ->
     return significant if significant else max(max(logs), -max(base, 0.0))
 
 
-def trained_on(doc_id: Column, folds: int = FOLDS) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds != 0
-
-
-def training_texts(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int) -> DataFrame:
-    """(text, label) of at most `max_labelled` labelled rows outside the held-out fold."""
-    sample = (
-        labels.where(F.col(label).isNotNull() & trained_on(F.col("doc_id")))
-        .select("doc_id", F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), F.col("doc_id"), F.col("label").desc()).limit(max_labelled)
-    )
-    once = stage(sample.groupBy("doc_id").agg(F.max("label").alias("label")), "labelled")
-    rows = docs.select("doc_id", "text").join(F.broadcast(once), "doc_id")  # max_labelled rows
-    return stage(
-        rows.select(F.coalesce("text", F.lit("")).alias("text"), "label").distinct(), "training"
-    )
-
-
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for label, texts in batch.groupby("label")["text"]:
@@ -342,9 +324,8 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFram
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = scored(docs.select("doc_id", "text"), labels)
-    held = F.coalesce(~trained_on(F.col("doc_id")), F.lit(False))
     return rows.select(
-        "doc_id", held.alias("held_out"), F.col("_toxic.score").alias("score"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxic.score").alias("score"),
         (F.col("_toxic.score") >= 0.5).cast("int").alias("predicted"),
         F.size("_toxic.passages").alias("n_passages"),
     )
