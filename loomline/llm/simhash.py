@@ -25,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomline.llm.components import components
 from loomline.staging import stage
@@ -38,6 +38,7 @@ SEED = 42
 BLOCK = 1 << 16
 BUCKET = 512
 KEY_BITS = 28
+LINKS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
 def hashes(text: str, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -67,7 +68,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(set_bits.view(np.int64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprint_of(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(text) for text in texts], dtype="int64")
 
@@ -148,7 +149,7 @@ def bucket_links(members: np.ndarray, turn: int) -> list[tuple[int, int]]:
     return links
 
 
-@F.pandas_udf("array<struct<a:long,b:long>>")
+@F.pandas_udf(LINKS)
 def links_of(turns: pd.Series, members: pd.Series) -> pd.Series:
     return pd.Series([
         [{"a": a, "b": b} for a, b in bucket_links(np.asarray(fps), int(turn))]
