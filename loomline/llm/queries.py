@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import decontam, extract, mixing, oracles, quality, ring, simhash, toxicity, warc
+from loomline.llm import (
+    decontam, extract, mixing, oracles, quality, ring, secrets, simhash, toxicity, warc,
+)
 from loomline.llm.tables import table
 
 
@@ -28,6 +30,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -51,6 +57,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
+    "op5_secrets": op5_secrets,
     "op7_quality": op7_quality,
     "op8_shards": op8_shards,
     "op9_main_text": op9_main_text,
