@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import (
     decontam, extract, mixing, oracles, quality, ring, secrets, simhash, toxicity, warc,
+    weighted,
 )
 from loomline.llm.tables import table
 
@@ -34,6 +35,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_shards": op8_shards,
     "op9_main_text": op9_main_text,
