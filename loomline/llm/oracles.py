@@ -49,3 +49,56 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM p JOIN g USING (h)
 """
+
+MIXTURE = r"""
+WITH d AS (
+  SELECT doc_id, source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST(([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS BIGINT) AS w
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY 3 * source_size / w, source) AS k,
+    CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (
+      ORDER BY 3 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS DOUBLE) AS words_left,
+    CAST(sum(w) OVER () - coalesce(sum(w) OVER (
+      ORDER BY 3 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS DOUBLE) AS weight_left
+  FROM s),
+share AS (
+  SELECT words_left / weight_left AS v FROM o
+  WHERE 3 * source_size >= w * (words_left / weight_left) ORDER BY k LIMIT 1),
+t AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), w * (SELECT v FROM share)) AS target
+  FROM o),
+e AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+    CASE WHEN t.source_size > 0 THEN target / t.source_size ELSE 0e0 END AS ratio,
+    (CAST('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5e0)
+      / 4503599627370496e0 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (
+  SELECT *, floor(ratio) AS whole, target - floor(ratio) * source_size AS missing,
+    ratio - floor(ratio) AS chance FROM e),
+g AS (
+  SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM f),
+h AS (
+  SELECT *, rank IS NOT NULL
+    AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id) <= missing AS chosen
+  FROM g),
+gap AS (
+  SELECT *, missing - coalesce(sum(CASE WHEN chosen THEN size END) OVER (PARTITION BY source), 0)
+    AS gap FROM h),
+fill AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY
+      CASE WHEN NOT chosen AND rank IS NOT NULL AND abs(size - gap) < gap THEN 0 ELSE 1 END,
+      abs(size - gap), rank, doc_id) = 1
+    AND NOT chosen AND rank IS NOT NULL AND abs(size - gap) < gap AS filled
+  FROM gap)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (whole + CASE WHEN chosen OR filled THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM fill
+"""

@@ -73,4 +73,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_warc": oracles.WARC,
     "op4_decontamination": oracles.DECONTAMINATION,
+    "op10_mixture": oracles.MIXTURE,
 }
