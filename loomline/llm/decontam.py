@@ -179,7 +179,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
     marked = contamination(docs.select("doc_id", "text"), benchmark).where("contaminated")
-    bad = stage(marked.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad"))
+    bad = stage(marked.select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
                 .distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(full_text()) == F.col("_bad"))
+    same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(full_text()) == F.col("__bad_hash"))
     return docs.join(bad, same, "left_anti")

@@ -252,11 +252,11 @@ def extractor(trees: list[tuple[float, list[tuple]]]):
 
 
 def extracted(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """All columns of `pages` with the main text as `_main_text`."""
-    return pages.withColumn("_main_text", extractor(fit(pages, sample_pages))(F.col("html")))
+    """All columns of `pages` with the main text as `__main_text`."""
+    return pages.withColumn("__main_text", extractor(fit(pages, sample_pages))(F.col("html")))
 
 
 def extraction_report(pages: DataFrame) -> DataFrame:
     rows = extracted(pages.select("page_id", "url", "html"))
-    return rows.select("page_id", "url", F.col("_main_text").alias("text"),
-                       F.char_length("_main_text").cast("long").alias("n_chars"))
+    return rows.select("page_id", "url", F.col("__main_text").alias("text"),
+                       F.char_length("__main_text").cast("long").alias("n_chars"))

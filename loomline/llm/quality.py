@@ -162,12 +162,12 @@ def scorer(model: Model | None):
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """All columns of `docs` with `_quality`, the share of label 1 around the text."""
-    return docs.withColumn("_quality", scorer(fit(docs, labels, label))(F.col("text")))
+    """All columns of `docs` with `__quality_result`, the share of label 1 around the text."""
+    return docs.withColumn("__quality_result", scorer(fit(docs, labels, label))(F.col("text")))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     return scored(docs.select("doc_id", "text"), labels).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_quality").alias("score"),
-        (F.col("_quality") >= threshold).cast("int").alias("predicted"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__quality_result").alias("score"),
+        (F.col("__quality_result") >= threshold).cast("int").alias("predicted"),
     )

@@ -163,7 +163,9 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     keyed = prints.select("fp", F.inline(first_keys(F.col("fp"))))
     found = []
     while True:
-        headed = keyed.withColumn("head", F.shiftrightunsigned("bits", 64 - fixed))
+        free = 64 - fixed
+        bucket = bucket if free > BUDGET else max(bucket, 1 << free)  # all that can differ
+        headed = keyed.withColumn("head", F.shiftrightunsigned("bits", free))
         counts = stage(
             headed.groupBy("path", "head").count().where("count > 1"), "bucket-sizes"
         )
@@ -178,7 +180,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         ))
         if counts.where(F.col("count") > bucket).isEmpty():
             break
-        width = max(1, (64 - fixed) // (BUDGET + 1))
+        width = free // (BUDGET + 1)
         hot = shared.where(F.col("count") > bucket).select("fp", "path", "bits")
         keyed = stage(hot.select("fp", F.inline(longer_keys(fixed, width))), "longer-keys")
         fixed, depth = fixed + width, depth + 1
@@ -209,6 +211,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     that share the least doc_id one stays.
     """
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("_keep")).distinct()
-    survivors = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    ids = kept.select(F.col("doc_id").alias("__kept_id")).distinct()
+    survivors = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
     return survivors.dropDuplicates(["doc_id"])

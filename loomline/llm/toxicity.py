@@ -132,8 +132,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts: Counter[str] = Counter()
             for text in texts:
                 counts.update(set(WORD.findall(text.lower())))
-            yield pd.DataFrame({"term": list(counts), "label": int(label),
-                                "n": list(counts.values())})
+            yield pd.DataFrame({"term": pd.Series(list(counts), dtype=object),
+                                "label": int(label), "n": list(counts.values())})
 
 
 def log_odds(terms: DataFrame, ones: str, zeros: str, total: dict[str, float]) -> DataFrame:
@@ -317,21 +317,21 @@ def scorer(model: Model):
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """All columns of `docs` with a struct `_toxic`: score, tokens, passages."""
+    """All columns of `docs` with a struct `__toxic_result`: score, tokens, passages."""
     model = fit(docs, labels, label)
-    return docs.withColumn("_toxic", scorer(model)(F.col("text")))
+    return docs.withColumn("__toxic_result", scorer(model)(F.col("text")))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = scored(docs.select("doc_id", "text"), labels)
     return rows.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxic.score").alias("score"),
-        (F.col("_toxic.score") >= 0.5).cast("int").alias("predicted"),
-        F.size("_toxic.passages").alias("n_passages"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__toxic_result.score").alias("score"),
+        (F.col("__toxic_result.score") >= 0.5).cast("int").alias("predicted"),
+        F.size("__toxic_result.passages").alias("n_passages"),
     )
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
     own = [F.col(name) for name in docs.columns]
-    return scored(docs, labels).where(F.col("_toxic.score") < threshold).select(*own)
+    return scored(docs, labels).where(F.col("__toxic_result.score") < threshold).select(*own)
