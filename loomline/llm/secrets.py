@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and strings that a Markov model finds random.
 
 Fixed patterns find assignments, access keys and long hexadecimal runs. Two character
-Markov models are trained on labelled samples that the corpus itself gives: values of
+Markov models, blind to case, are trained on labelled samples that the corpus itself gives: values of
 fixed-pattern matches are random strings, other words of a sample of documents are
 ordinary identifiers. A long token is a secret too if the log-likelihood ratio of its
 transitions under the two models exceeds the log of their frequencies' ratio by
@@ -11,7 +11,7 @@ Everything is DataFrame operations. A text is scanned by each pattern once; only
 with matches are cut at them to get positions, in code points. Matches are narrow rows;
 texts are never shuffled. Training takes at most `sample_values` matched values and
 `sample_docs` documents, both chosen by hash; the model is a table of at most
-67 x 67 ratios. Fixed matches are counted over all documents.
+42 x 42 ratios. Fixed matches are counted over all documents.
 
 Null texts are empty. Rows equal in doc_id and text get equal results. Without random
 samples the random model is uniform, and the same rule holds.
@@ -36,12 +36,14 @@ KINDS = [("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 1
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{8,}"
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+ALPHABET = LETTERS + "+/_=-"
 SIGNS = len(ALPHABET) + 1
 MARGIN = 8.0
 LEAST_MEAN = 1.5  # per transition, so that length alone makes no secret
 UNIFORM = 200.0  # pseudo-transitions per sign: random strings tend to use all signs alike
-FLOOR = 0.5
+FLOOR = 0.5  # of a sign in ordinary tokens
+BACKOFF = 20.0  # pseudo-transitions of a sign in ordinary tokens
 KEY = ["doc_id", "text_hash"]
 SPAN = "array<struct<kind:string,rank:int,at:int,gap:int,size:int,value:string,held:int>>"
 
@@ -77,7 +79,7 @@ def placed(docs: DataFrame, kinds: list[tuple[str, str, int, int]], first_rank:
 
 
 def sign(text: Column, at: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), F.substring(text, at, F.lit(1)))
+    return F.instr(F.lit(ALPHABET), F.lower(F.substring(text, at, F.lit(1))))
 
 
 def sign_pairs(token: Column) -> Column:
@@ -112,14 +114,19 @@ def transition_ratios(docs: DataFrame, base: DataFrame, sample_docs: int,
     tables = {side: [0.0] * (SIGNS * SIGNS) for side in (0, 1)}
     for row in counted:
         tables[row["random"]][row["pair"]] += row["count"]
+    nexts = [sum(tables[0][after::SIGNS]) + FLOOR for after in range(SIGNS)]
+    share = [count / sum(nexts) for count in nexts]
     ratios = []
     for before in range(SIGNS):
         rows = {side: tables[side][before * SIGNS:(before + 1) * SIGNS] for side in (0, 1)}
         total = {side: sum(rows[side]) for side in (0, 1)}
         for after in range(SIGNS):
             random = (rows[1][after] + UNIFORM / SIGNS) / (total[1] + UNIFORM)
-            # An unseen sign before: the ordinary model knows next to nothing of it.
-            plain = (rows[0][after] + FLOOR) / (total[0] + FLOOR * SIGNS)
+            # Between letters and digits the prior is how common the next one is at all.
+            # Of other signs, which join words, an unseen transition says nothing.
+            known = 0 < before <= len(LETTERS) and 0 < after <= len(LETTERS)
+            prior = share[after] if known else 1 / SIGNS
+            plain = (rows[0][after] + BACKOFF * prior) / (total[0] + BACKOFF)
             ratios.append(math.log(random / plain))
     odds = math.log((sizes.get(0, 0) + 1) / (sizes.get(1, 0) + 1))
     return ratios, max(odds, 0.0)
