@@ -112,8 +112,6 @@ def test_secrets(spark, documents, nothing):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
         spans = [s for s in r["spans"].split(",") if s]
         assert [s for s in spans if not s.startswith("random")] == want
-        if "plainwords" in (r["text"] or ""):
-            assert not spans
     # Learned from a sample that lacks it, a random string stands out.
     plain = spark.createDataFrame(
         [(i, " ".join(a + b for a in WORDS for b in WORDS)) for i in range(20)],
