@@ -8,6 +8,7 @@ from loomline import rules
 from loomline.functions.listing import searchable
 from loomline.functions.text import contains_all
 from loomline.operators.dedup import topk_per
+from loomline.operators.ordinals import number_rows
 
 
 def available(df: DataFrame) -> DataFrame:
@@ -81,16 +82,20 @@ def sort_results(df: DataFrame, by: str = "relevance") -> DataFrame:
 
 def search_with_total(df: DataFrame, queries: list[str], country: str,
                       low: float | None = None, high: float | None = None,
-                      limit: int = rules.SEARCH_LIMIT) -> DataFrame:
+                      limit: int | None = rules.SEARCH_LIMIT) -> DataFrame:
     """Substring search over available rows: first rows, page total, full total.
 
-    A bound of zero counts as no bound here.
+    A bound of zero counts as no bound here. Without a limit every match is ranked,
+    by range partitions, and the page is the whole result.
     """
     rows = available(df).where(F.col("country") == country)
     rows = price_between(rows, low or None, high or None)
     hits = matching_each(rows, queries)
     totals = hits.groupBy("query").agg(F.count(F.lit(1)).alias("match_total"))
-    first = topk_per(hits, ["query"], [F.col("id"), F.col("price"), F.col("url")], limit)
-    return first.join(totals, "query").withColumn(
-        "page_total", F.least("match_total", F.lit(limit))
-    )
+    order = [F.col("id"), F.col("price"), F.col("url")]
+    if limit is None:
+        first = number_rows(hits, order, by=["query"], column="rank")
+    else:
+        first = topk_per(hits, ["query"], order, limit)
+    shown = F.col("match_total") if limit is None else F.least("match_total", F.lit(limit))
+    return first.join(totals, "query").withColumn("page_total", shown)

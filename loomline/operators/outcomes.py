@@ -68,20 +68,23 @@ def training_gate(latest: DataFrame, min_rows: int = rules.MIN_TRAINING_ROWS) ->
     return counts.withColumn("ready", ready)
 
 
-def train_outcome_model(latest: DataFrame) -> PipelineModel | None:
-    """A random forest over the domain features; None while the gate is closed."""
+def train_outcome_model(latest: DataFrame, max_depth: int = 30) -> PipelineModel | None:
+    """A random forest over the domain features; None while the gate is closed.
+
+    `max_depth` is the deepest MLlib grows; trees end earlier where nothing is left to split.
+    """
     if not training_gate(latest).first().ready:
         return None
     rows = labelled(latest).select(*rules.FEATURES, F.col("success").cast("double").alias("label"))
     forest = RandomForestClassifier(
-        numTrees=rules.FOREST_TREES, seed=rules.FOREST_SEED, maxDepth=10
+        numTrees=rules.FOREST_TREES, seed=rules.FOREST_SEED, maxDepth=max_depth
     )
     assembler = VectorAssembler(inputCols=rules.FEATURES, outputCol="features")
     return Pipeline(stages=[assembler, forest]).fit(rows)
 
 
 def score_domains(model: PipelineModel | None, domains: DataFrame) -> DataFrame:
-    """Probability of success per row of `domains`; one half while nothing is learned."""
+    """Probability of success per row of `domains`; null while nothing is learned."""
     if model is None:
         return domains.withColumn("probability", F.lit(None).cast("double"))
     scored = model.transform(with_features(domains))

@@ -56,17 +56,23 @@ def gender_split(df: DataFrame) -> DataFrame:
 
 
 def brand_batches(ranked: DataFrame, score: str = "rank") -> DataFrame:
-    """A ranked result by brand, brands in order of their best row.
+    """The batches of a ranked result by brand: best rank, size, and the row shown first.
 
-    `ranked` is a search result, so the result limit bounds every batch.
+    The rows of a batch are the result's own, ordered by `brand_rows`; no brand is
+    gathered into a list.
     """
-    items = F.array_sort(F.collect_list(F.struct(score, "id", "url", "price")))
     return ranked.groupBy("brand").agg(
         F.min(score).alias("best_rank"), count_rows().alias("n_items"),
-        items.alias("items"),
+        F.min_by("id", score).alias("first_id"),
     )
 
 
+def brand_rows(ranked: DataFrame, score: str = "rank") -> DataFrame:
+    """A ranked result's rows, brands in order of their best row, each in rank order."""
+    best = ranked.groupBy("brand").agg(F.min(score).alias("best_rank"))
+    return ranked.join(best, "brand").orderBy("best_rank", score)
+
+
 def result_summary(ranked: DataFrame) -> DataFrame:
     """Per query: rows on this page, all matches, brands of the page in order."""
     brands = F.array_join(F.sort_array(F.collect_set("brand")), ", ")

@@ -81,7 +81,7 @@ def cheapest_matches(spark, sf_dir):
 
 def price_sort(spark, sf_dir):
     """The dearest hundred of a ranked result, the rank kept among equals."""
-    rows = matching.search_with_total(listings(spark, sf_dir), ["blue"], COUNTRY, limit=500)
+    rows = matching.search_with_total(listings(spark, sf_dir), ["blue"], COUNTRY, limit=None)
     return matching.sort_results(rows, "high").limit(100).select("rank", "id", "price")
 
 
@@ -104,9 +104,9 @@ def result_ordinal(spark, sf_dir):
 
 def group_by_brand(spark, sf_dir):
     """A ranked result in one batch per brand."""
-    found = matching.search_with_total(listings(spark, sf_dir), ["blue"], COUNTRY, limit=3000)
+    found = matching.search_with_total(listings(spark, sf_dir), ["blue"], COUNTRY, limit=None)
     batches = reports.brand_batches(found)
-    return batches.select("brand", "best_rank", "n_items", F.get("items", F.lit(0))["id"].alias("first_id"))
+    return batches.select("brand", "best_rank", "n_items", "first_id")
 
 
 def product_view(spark, sf_dir):
@@ -182,6 +182,12 @@ def each_sql(queries: list[str], source: str) -> str:
     )
 
 
+def all_matches_sql(query: str) -> str:
+    return f"""{LISTINGS_SQL}, F AS (
+        SELECT *, ROW_NUMBER() OVER (ORDER BY id, price, url) AS rank
+        FROM L WHERE available AND country = '{COUNTRY}' AND {contains_sql(query)})"""
+
+
 def totals_sql(queries: list[str], limit: int, high: str) -> str:
     return f"""{LISTINGS_SQL}, V AS (SELECT * FROM L WHERE available AND country = '{COUNTRY}' {high}),
         H AS ({each_sql(queries, "V")}),
@@ -219,7 +225,7 @@ ORACLE = {
           string_agg(DISTINCT brand, ', ' ORDER BY brand) AS brands_found FROM F GROUP BY query""",
     "cheapest_matches": f"""WITH {CLEAN_SQL} SELECT id, brand, title, price, url FROM C
         WHERE {contains_sql("cold rod")} ORDER BY price, brand, url, id LIMIT 100""",
-    "price_sort": f"""WITH {totals_sql(["blue"], 500, "")}
+    "price_sort": f"""WITH {all_matches_sql("blue")}
         SELECT rank, id, price FROM F ORDER BY price DESC, rank LIMIT 100""",
     "page_of_results": f"""WITH {CLEAN_SQL} SELECT {TOTAL_ORDER_SQL} FROM C
         WHERE {contains_sql("hot")} ORDER BY {TOTAL_ORDER_SQL} LIMIT 48 OFFSET 96""",
@@ -229,7 +235,7 @@ ORACLE = {
           ROW_NUMBER() OVER (ORDER BY {TOTAL_ORDER_SQL}) AS position FROM C)
         SELECT *, CASE WHEN position < 1000 THEN lpad(CAST(position AS VARCHAR), 3, '0')
           ELSE CAST(position AS VARCHAR) END AS card FROM N""",
-    "group_by_brand": f"""WITH {totals_sql(["blue"], 3000, "")}
+    "group_by_brand": f"""WITH {all_matches_sql("blue")}
         SELECT brand, min(rank) AS best_rank, count(*) AS n_items, arg_min(id, rank) AS first_id
         FROM F GROUP BY brand""",
     "product_view": f"""WITH {LISTINGS_SQL}

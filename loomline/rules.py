@@ -125,8 +125,6 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 MIN_IDF = 1e-6
 INDEXED_COLUMNS = ["title", "brand", "colors", "category", "gender"]
-CACHED_LIMIT = 3000
 SEARCH_LIMIT = 60
 RECOMMENDATIONS = 12
 PAGE_SIZE = 48
-RECOMMENDER_TOKEN = r"\w\w+"

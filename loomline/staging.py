@@ -7,6 +7,7 @@ with real file sizes, so Catalyst broadcasts it only when it is small enough
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -22,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError(f"set {SETTING} to a folder every executor can reach")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="loomline-")
@@ -40,12 +41,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with at least a partition per core.
-
-    A table of few files or row groups would keep most cores idle; it is small,
-    so dealing its rows out is cheap. A large scan is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
