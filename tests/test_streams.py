@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
+
 from loomline.operators import cleaning
 from loomline.sources import tables, topic
 from loomline.streaming import cleaner, outcomes
@@ -25,20 +29,48 @@ def run(spark, source, target, progress, **options):
 
 
 def test_stream_equals_batch_however_it_is_cut(spark, tmp_path):
-    rows = raw(spark)
-    reference = cleaning.medians(cleaning.clean(rows)).persist()
-    batch = tables.insert_if_absent(
-        cleaning.outliers_removed(cleaning.clean(rows), reference=reference), None, ["brand"])
-    want = {r.url for r in batch.collect()}
-    for mode in ("watermark", "forever"):
-        for files in (1, 3):
-            name = f"{mode}{files}"
-            send(rows, str(tmp_path / f"in-{name}"), files)
-            got = run(spark, str(tmp_path / f"in-{name}"), str(tmp_path / f"out-{name}"),
-                      str(tmp_path / f"progress-{name}"), mode=mode, medians=lambda: reference)
-            assert {url for url, _ in got} == want
-            assert len(got) == len(want)
-    assert "dear" not in want
+    """Whole rows, over 1, 3 and 12 batches; equal urls differ in their other columns."""
+    rows = [dict(url=f"u{n % 40}", price=float(n % 9), brand=f"b{n % 3}", title=f"t{n % 5}",
+                 gender=["men", " F ", None][n % 3], sizes=[f"s{n}"]) for n in range(120)]
+    rows += [dict(brand="b0", url="dear", price=1e6)]
+    numbered = [listings(spark, [row]).withColumn("n", F.lit(n)) for n, row in enumerate(rows)]
+    frame = reduce(DataFrame.unionByName, numbered).repartition(4).persist()
+    reference = cleaning.medians(cleaning.clean(frame.drop("n"))).persist()
+    results = []
+    for batches in (1, 3, 12):
+        source, target = str(tmp_path / f"in-{batches}"), str(tmp_path / f"out-{batches}")
+        per = -(-len(rows) // batches)
+        records = topic.encode(frame, keep=["n"]).select(
+            "value", F.lit(0).alias("partition"), F.col("n").cast("long").alias("offset"),
+            F.timestamp_seconds("n").alias("timestamp"))
+        for batch in range(batches):
+            (records.where(F.floor(F.col("offset") / per) == batch).coalesce(1)
+             .write.mode("append").parquet(source))
+        cleaner.start_cleaner(
+            topic.log_stream(spark, source, files_per_batch=1), target,
+            str(tmp_path / f"progress-{batches}"), medians=lambda: reference, trigger=ONCE,
+        ).awaitTermination()
+        stored = spark.read.parquet(target).drop("scraped_at")
+        results.append(sorted(map(repr, stored.select(sorted(stored.columns)).collect())))
+    assert results[0] == results[1] == results[2] and results[0]
+    first = {}
+    for n, row in enumerate(rows):
+        if row["price"] > 0 and row["url"] != "dear":
+            first.setdefault(row["url"], n)
+    assert len(results[0]) == len(first)
+    for url, n in first.items():
+        assert any(f"url='{url}'" in text and f"'s{n}'" in text for text in results[0])
+
+
+def test_rejected_rows_are_not_judged_again(spark, tmp_path):
+    """Without a maintained table, a repeat of an outlier stays out of a later batch."""
+    def batch(rows):
+        topic.encode(listings(spark, rows)).coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+
+    batch([dict(url=f"u{n}", price=1.0, brand="b") for n in range(5)] + [dict(url="x", price=99.0, brand="b")])
+    batch([dict(url="x", price=99.0, brand="b")])
+    got = run(spark, *[str(tmp_path / name) for name in ("in", "out", "progress")])
+    assert "x" not in {url for url, _ in got} and len(got) == 5
 
 
 def test_callback_sees_every_batch(spark, tmp_path):
