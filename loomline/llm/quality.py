@@ -87,6 +87,19 @@ def counts(text: str | None, places: Places) -> np.ndarray:
     return out
 
 
+def packed(row: np.ndarray) -> bytes:
+    """Places and values of what is not zero."""
+    places = np.nonzero(row)[0]
+    return places.astype("<i2").tobytes() + row[places].astype("<f4").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    count = len(data) // 6
+    out = np.zeros(WIDTH, dtype=np.float32)
+    out[np.frombuffer(data, "<i2", count)] = np.frombuffer(data, "<f4", count, 2 * count)
+    return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # rarity of terms
@@ -110,7 +123,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
-        max_labelled: int = 6000) -> Model | None:
+        max_labelled: int = 5000) -> Model | None:
     texts = training_texts(docs, labels, label, max_labelled)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,14 +132,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
             for at in range(0, len(batch), BLOCK):
                 part = batch.iloc[at:at + BLOCK]
                 yield pd.DataFrame({"key": part["key"], "label": part["label"],
-                                    "x": [counts(text, places) for text in part["text"]]})
+                                    "x": [packed(counts(text, places)) for text in part["text"]]})
 
     keyed = texts.select(F.xxhash64("text").alias("key"), "label", "text")
-    rows = keyed.mapInPandas(counted, "key long, label int, x array<float>").toPandas()
+    rows = keyed.mapInPandas(counted, "key long, label int, x binary").toPandas()
     if rows.empty:  # at most max_labelled rows of WIDTH numbers
         return None
     rows = rows.sort_values(["key", "label"], kind="stable")
-    matrix = np.stack(rows["x"].to_numpy()).astype(np.float32)
+    matrix = np.stack([unpacked(data) for data in rows["x"]])
     known = rows["label"].to_numpy().astype(np.float32)
     weights = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + 0.1
     scaled = weighted(matrix, weights)
