@@ -37,8 +37,8 @@ def brand_country_expand(spark, sf_dir):
 
 
 def brands_per_country(spark, sf_dir):
-    """Only shops that take part; some countries are left without one."""
-    members = registry(spark, sf_dir).where(F.col("platform") == "html")
+    """Brands of the whole registry by country served."""
+    members = registry(spark, sf_dir)
     return brands.brands_per_country(members, nations(spark, sf_dir))
 
 
@@ -203,7 +203,7 @@ ORACLE = {
     "brand_country_expand": f"""WITH {REGISTRY_SQL}
         SELECT name, base_url, country, currency, platform FROM S""",
     "brands_per_country": f"""WITH {REGISTRY_SQL} SELECT n_name AS country, count(name) AS brands
-        FROM nation LEFT JOIN S ON country = n_name AND platform = 'html' GROUP BY n_name""",
+        FROM nation LEFT JOIN S ON country = n_name GROUP BY n_name""",
     "register_new": f"""WITH {REGISTRY_SQL}, {SHIPS_SQL}, I AS (
           SELECT concat('Page ', CAST(page_id AS VARCHAR)) AS name,
             concat({SCHEME_SQL}, '://', {AUTHORITY_SQL}) AS base_url FROM pages
