@@ -7,7 +7,8 @@ term of least a with its t: two texts draw the same one with the probability tha
 equals their generalised Jaccard similarity, sum of minima over sum of maxima.
 
 A round deals terms by hash to `BINS` bins and draws one sample per bin, so `ROUNDS`
-draws per term give ROUNDS x BINS samples. A bin that is empty in both texts says
+draws per term give ROUNDS x BINS samples. A bin's terms are a random part of both texts,
+so the rate of equal samples is the similarity of such parts on average. A bin that is empty in both texts says
 nothing and is left out; the likeness is the share of equal samples among the others.
 
 Weights are counted inside the row, so terms are exploded but never shuffled: the least
@@ -29,8 +30,8 @@ from loomline.operators.ordinals import number_rows
 from loomline.staging import stage
 
 SHINGLE = 5
-ROUNDS = 8
-BINS = 8
+ROUNDS = 1
+BINS = 64
 DIGITS = 4
 EMPTY = "." * DIGITS
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,16 +39,16 @@ KEY = ["doc_id", "text_hash"]
 OWN, EDITED, DIGEST = 0, 1, 2
 
 
-def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
-    """Sorted hashes of a text's shingles, repeats included; a short text is one shingle."""
-    words = F.array_remove(F.split(F.lower(text), SPACE), "")
-    return F.sort_array(F.transform(
-        _zipped(words, size), lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(size)])))
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), SPACE), "")
 
 
-def _zipped(words: Column, size: int) -> Column:
+def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
+    """Sorted hashes of shingles of a column of words, repeats included; a short text is one."""
     count = F.least(F.size(words), F.greatest(F.size(words) - (size - 1), F.lit(1)))
-    return F.arrays_zip(*[F.slice(words, i + 1, count).alias(f"w{i}") for i in range(size)])
+    zipped = F.arrays_zip(*[F.slice(words, i + 1, count).alias(f"w{i}") for i in range(size)])
+    return F.sort_array(F.transform(
+        zipped, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(size)])))
 
 
 def last_places(hashes: Column) -> Column:
@@ -79,37 +80,34 @@ def uniform(bits: Column, shift: int, width: int) -> Column:
     return (part + F.lit(0.5)) / F.lit(float(1 << width))
 
 
-def draw(round_: int) -> Column:
-    """Rank and sample of a term in one round, packed so that the least wins."""
-    one, two = F.col(f"_one{round_}"), F.col(f"_two{round_}")
-    r = -F.log(uniform(one, 0, 30) * uniform(one, 30, 30))
-    log_c = F.log(-F.log(uniform(two, 0, 24) * uniform(two, 24, 24)))
-    b = uniform(two, 48, 16)
-    t = F.floor(F.col("_log") / r + b)
-    rank = log_c - r * (t - b + 1)
-    scaled = F.least(F.greatest((rank + 64.0) * float(1 << 23), F.lit(0.0)), F.lit(2.0 ** 30))
-    sample = F.xxhash64("term", t, F.lit(round_)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(scaled.cast("long"), 32).bitwiseOR(sample)
+def draw() -> tuple[Column, Column, Column]:
+    """r, ln c and b of a term in a round, from its two hashes."""
+    r = -F.log(uniform(F.col("_one"), 0, 30) * uniform(F.col("_one"), 30, 30))
+    log_c = F.log(-F.log(uniform(F.col("_two"), 0, 24) * uniform(F.col("_two"), 24, 24)))
+    return r, log_c, uniform(F.col("_two"), 48, 16)
 
 
 def least_samples(terms: DataFrame) -> DataFrame:
     """Per text and side the least sample of every round and bin, and the digest's parts."""
-    hashed = terms.withColumns({
-        "_log": F.log("weight"),
-        **{f"_one{j}": F.xxhash64("term", F.lit(2 * j)) for j in range(ROUNDS)},
-        **{f"_two{j}": F.xxhash64("term", F.lit(2 * j + 1)) for j in range(ROUNDS)},
-    })
-    drawn = hashed.select(
+    rounds = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("_round"))
+    hashed = rounds.withColumns({"_one": F.xxhash64("term", "_round"),
+                                 "_two": F.xxhash64("_round", "term")})
+    r, log_c, b = draw()
+    drawn = hashed.withColumns({"_r": r, "_c": log_c, "_b": b})
+    timed = drawn.withColumn("_t", F.floor(F.log("weight") / F.col("_r") + F.col("_b")))
+    rank = F.col("_c") - F.col("_r") * (F.col("_t") - F.col("_b") + 1)
+    scaled = F.least(F.greatest((rank + 64.0) * float(1 << 23), F.lit(0.0)), F.lit(2.0 ** 30))
+    sample = F.xxhash64("term", "_t", "_round").bitwiseAND(F.lit(0xFFFFFFFF))
+    ranked = timed.select(
         *KEY, "side", "term", "weight",
-        *[draw(j).alias(f"v{j}") for j in range(ROUNDS)],
-        *[F.pmod(F.shiftrightunsigned(f"_one{j}", 60), F.lit(BINS)).alias(f"b{j}")
-          for j in range(ROUNDS)],
+        F.shiftleft(scaled.cast("long"), 32).bitwiseOR(sample).alias("v"),
+        (F.col("_round") * BINS + F.pmod(F.xxhash64("_two"), F.lit(BINS))).cast("int").alias("slot"),
     )
-    least = [F.min(F.when(F.col(f"b{j}") == b, F.col(f"v{j}"))).alias(f"m{j}_{b}")
-             for j in range(ROUNDS) for b in range(BINS)]
+    least = [F.min(F.when(F.col("slot") == i, F.col("v"))).alias(f"m{i}")
+             for i in range(ROUNDS * BINS)]
     digest = [F.max(F.when((F.col("side") == DIGEST) & (F.col("weight") == i), F.col("term")))
               .alias(f"d{i}") for i in range(4)]
-    return drawn.groupBy(*KEY, "side").agg(*least, *digest)
+    return ranked.groupBy(*KEY, "side").agg(*least, *digest)
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -150,15 +148,17 @@ def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
 
 def signatures(texts: DataFrame) -> DataFrame:
     """Samples of own and edited texts and the edited text's digest, per document and side."""
-    hashed = texts.select(
+    cut = texts.select(
         *KEY, digest_parts(F.col("edited")).alias("digest"),
-        shingle_hashes(F.col("text")).alias("own"), shingle_hashes(F.col("edited")).alias("new"))
+        words_of(F.col("text")).alias("own"), words_of(F.col("edited")).alias("new"))
+    hashed = cut.select(*KEY, "digest", shingle_hashes(F.col("own")).alias("own"),
+                        shingle_hashes(F.col("new")).alias("new"))
     ended = hashed.withColumns({"own_ends": last_places(F.col("own")),
                                 "new_ends": last_places(F.col("new"))})
     listed = F.concat(weighted_terms(F.col("own"), F.col("own_ends"), OWN),
                       weighted_terms(F.col("new"), F.col("new_ends"), EDITED), "digest")
     least = least_samples(ended.select(*KEY, F.inline(listed)))
-    samples = F.array(*[F.col(f"m{j}_{b}") for j in range(ROUNDS) for b in range(BINS)])
+    samples = F.array(*[F.col(f"m{i}") for i in range(ROUNDS * BINS)])
     short = F.transform(samples, lambda x: x.bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1)).cast("int"))
     digest = F.when(F.col("side") == DIGEST, F.lower(F.concat(*[
         F.lpad(F.hex(f"d{i}"), 16, "0") for i in range(4)])))

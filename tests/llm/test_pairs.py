@@ -163,7 +163,7 @@ def test_collision_rate_is_generalised_jaccard(spark):
     frame = spark.createDataFrame(
         rows, "doc_id long, text_hash long, side int, term long, weight int")
     samples = weighted.least_samples(frame).collect()
-    sides = {(r["doc_id"], r["side"]): [r[f"m{j}_{b}"] for j in range(8) for b in range(8)]
+    sides = {(r["doc_id"], r["side"]): [r[f"m{i}"] for i in range(64)]
              for r in samples}
     errors = []
     for pair, want in truth.items():
