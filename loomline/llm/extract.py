@@ -30,6 +30,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from loomline.llm import dom
+from loomline.llm.tables import hash_sample
 from loomline.staging import stage
 
 SAMPLE_PAGES = 300
@@ -200,9 +201,9 @@ def flat_trees(model: GBTClassificationModel) -> list[tuple[float, list[tuple]]]
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> list[tuple[float, list[tuple]]]:
     """Boosted trees from at most `sample_pages` pages."""
     sample = stage(
-        pages.where("html IS NOT NULL AND html <> ''")
-        .select(F.xxhash64("html").alias("h"), "html").orderBy("h", "html").limit(sample_pages)
-        .repartition(8, "h"), "sample-pages",
+        hash_sample(pages.where("html IS NOT NULL AND html <> ''").select("html"),
+                    F.col("html"), sample_pages).repartition(8, F.xxhash64("html")),
+        "sample-pages",
     )
     nodes = stage(sample.select("html").mapInPandas(teaching, "label double, x array<double>"),
                   "nodes")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomline.llm.tables import hash_sample
 from loomline.staging import stage
 
 FOLDS = 5
@@ -23,11 +24,9 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, max_labelled:
     The rows are those of least hash of doc_id. Null labels are not used; a document
     labelled twice counts as 1 if one label says so.
     """
-    sample = (
-        labels.where(F.col(label).isNotNull() & trained_on(F.col("doc_id")))
-        .select("doc_id", F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), F.col("doc_id"), F.col("label").desc()).limit(max_labelled)
-    )
+    usable = labels.where(F.col(label).isNotNull() & trained_on(F.col("doc_id"))).select(
+        "doc_id", F.col(label).cast("int").alias("label"))
+    sample = hash_sample(usable, F.col("doc_id"), max_labelled)
     once = stage(sample.groupBy("doc_id").agg(F.max("label").alias("label")), "labelled")
     rows = docs.select("doc_id", "text").join(F.broadcast(once), "doc_id")  # max_labelled rows
     return stage(

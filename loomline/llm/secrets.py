@@ -24,7 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomline.llm.tables import full_text, literal_array
+from loomline.llm.tables import full_text, hash_sample, literal_array
 from loomline.staging import stage
 
 # The base patterns, with the group and the length that a match must have.
@@ -92,13 +92,9 @@ def transition_ratios(docs: DataFrame, base: DataFrame, sample_docs: int,
                       sample_values: int) -> tuple[list[float], float]:
     """Log-likelihood ratios of transitions, random against ordinary; and the log of how
     many times more ordinary tokens than random ones there are."""
-    values = (
-        base.select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(sample_values)
-    )
-    texts = (
-        docs.select(F.xxhash64("doc_id", "text").alias("h"), full_text().alias("text"))
-        .orderBy("h").limit(sample_docs)
-    )
+    values = hash_sample(base.select("value").distinct(), F.col("value"), sample_values)
+    texts = hash_sample(docs.select("doc_id", full_text().alias("text")),
+                        F.struct("doc_id", "text"), sample_docs)
     words = texts.select(
         F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("value")
     ).where(~(F.col("value").rlike(HEX) | F.col("value").rlike(ACCESS)))

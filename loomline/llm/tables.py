@@ -30,3 +30,17 @@ def full_text(name: str = "text") -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z alone; every other letter stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """At most `n` rows, those of least hash; tasks send only the few that can be among them.
+
+    Four times as many as are needed pass a threshold on the hash, whatever the size of
+    the table; the rest never leave their task.
+    """
+    bits = 40
+    share = min(1.0, 4 * n / max(df.count(), 1))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    near = df.withColumn("__place", place).where(F.col("__place") < int(share * (1 << bits)))
+    order = [c for c, kind in near.dtypes if c != "__place" and not kind.startswith("map")]
+    return near.orderBy("__place", *order).limit(n).drop("__place")
