@@ -12,7 +12,7 @@ so the rate of equal samples is the similarity of such parts on average. A bin t
 nothing and is left out; the likeness is the share of equal samples among the others.
 
 Weights are counted inside the row, so terms are exploded but never shuffled: the least
-ranks are primitive minima that each task reduces to one row per text beforehand. Next
+ranks are primitive minima, taken where the text already is. Next
 documents come from positions numbered by range partitions; a document is sent its
 successor's first characters only.
 
@@ -35,7 +35,8 @@ BINS = 64
 DIGITS = 4
 EMPTY = "." * DIGITS
 SPACE = r"[\x20\x09-\x0D]+"
-KEY = ["doc_id", "text_hash"]
+KEY = ["id_key", "text_hash"]
+NO_ID = -(1 << 63)  # stands for a null doc_id, so that keys join by plain equality
 OWN, EDITED, DIGEST = 0, 1, 2
 
 
@@ -110,40 +111,41 @@ def least_samples(terms: DataFrame) -> DataFrame:
     return ranked.groupBy(*KEY, "side").agg(*least, *digest)
 
 
+def keys() -> list[Column]:
+    return [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id_key"),
+            F.xxhash64(full_text()).alias("text_hash")]
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """Each document with the characters it takes from the next, and its predecessor's key."""
     keyed = docs.select(
-        "doc_id", F.xxhash64(full_text()).alias("text_hash"),
-        F.char_length(full_text()).cast("long").alias("n_chars"),
-    ).groupBy(*KEY, "n_chars").agg(F.count(F.lit(1)).alias("copies"))
+        "doc_id", *keys(), F.char_length(full_text()).cast("long").alias("n_chars"),
+    ).groupBy("doc_id", *KEY, "n_chars").agg(F.count(F.lit(1)).alias("copies"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
     at = stage(number_rows(stage(keyed, "document-keys"), order, column="at", start=0), "order")
     total = at.count()
     before = at.select(
-        F.pmod(F.col("at") + 1, F.lit(max(total, 1))).alias("at"), F.col("doc_id").alias("prev_id"),
+        F.pmod(F.col("at") + 1, F.lit(max(total, 1))).alias("at"), F.col("id_key").alias("prev_id"),
         F.col("text_hash").alias("prev_hash"), F.floor(F.col("n_chars") / 4).alias("prev_take"))
     after = at.select(
-        F.pmod(F.col("at") - 1, F.lit(max(total, 1))).alias("at"), F.col("doc_id").alias("next_id"),
+        F.pmod(F.col("at") - 1, F.lit(max(total, 1))).alias("at"), F.col("id_key").alias("next_id"),
         F.col("text_hash").alias("next_hash"))
     return stage(at.join(before, "at").join(after, "at").drop("at"), "successors")
 
 
 def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, text, edited): the last quarter gives way to the next one's start."""
-    named = order.select(F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"),
-                         F.floor(F.col("n_chars") / 4).cast("int").alias("take"), "n_chars",
+    """(id_key, text_hash, text, edited): the last quarter gives way to the next one's start.
+
+    Texts stay dealt by their key from here to their samples, so they cross the network once.
+    """
+    named = order.select(*KEY, F.floor(F.col("n_chars") / 4).cast("int").alias("take"), "n_chars",
                          "prev_id", "prev_hash", F.col("prev_take").cast("int").alias("prev_take"))
-    texts = docs.select("doc_id", F.xxhash64(full_text()).alias("text_hash"),
-                        full_text().alias("text"))
-    met = texts.join(named, F.col("doc_id").eqNullSafe(F.col("o_id"))
-                     & (F.col("text_hash") == F.col("o_hash")))
+    met = docs.select(*keys(), full_text().alias("text")).join(named, KEY)
     starts = met.select(
-        F.col("prev_id").alias("p_id"), F.col("prev_hash").alias("p_hash"),
+        F.col("prev_id").alias("id_key"), F.col("prev_hash").alias("text_hash"),
         F.substring("text", F.lit(1), F.col("prev_take")).alias("start"))
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.col("take")).cast("int"))
-    return met.join(starts, F.col("doc_id").eqNullSafe(F.col("p_id"))
-                    & (F.col("text_hash") == F.col("p_hash"))).select(
-        *KEY, "text", F.concat(kept, "start").alias("edited"))
+    return met.join(starts, KEY).select(*KEY, "text", F.concat(kept, "start").alias("edited"))
 
 
 def signatures(texts: DataFrame) -> DataFrame:
@@ -185,15 +187,11 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     order = successors(docs)
     signed = signatures(edited_texts(docs.select("doc_id", "text"), order))
     side = lambda which, name: signed.where(F.col("side") == which).select(
-        F.col("doc_id").alias(f"{name}_id"), F.col("text_hash").alias(f"{name}_hash"),
-        F.col("digest" if which == DIGEST else "samples").alias(name))
-    same = lambda key, name: (
-        F.col(key[0]).eqNullSafe(F.col(f"{name}_id")) & (F.col(key[1]) == F.col(f"{name}_hash")))
+        *KEY, F.col("digest" if which == DIGEST else "samples").alias(name))
+    after = side(OWN, "after").withColumnsRenamed({"id_key": "next_id", "text_hash": "next_hash"})
     joined = (
-        order.join(side(OWN, "own"), same(KEY, "own"), "left")
-        .join(side(EDITED, "edited"), same(KEY, "edited"), "left")
-        .join(side(DIGEST, "sha"), same(KEY, "sha"), "left")
-        .join(side(OWN, "after"), same(["next_id", "next_hash"], "after"), "left")
+        order.join(side(OWN, "own"), KEY, "left").join(side(EDITED, "edited"), KEY, "left")
+        .join(side(DIGEST, "sha"), KEY, "left").join(after, ["next_id", "next_hash"], "left")
     )
     rows = joined.select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"),

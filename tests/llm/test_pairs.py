@@ -161,9 +161,9 @@ def test_collision_rate_is_generalised_jaccard(spark):
                      for i, w in enumerate(weights[side]) if w]
         truth[pair] = np.minimum(*weights).sum() / np.maximum(*weights).sum()
     frame = spark.createDataFrame(
-        rows, "doc_id long, text_hash long, side int, term long, weight int")
+        rows, "id_key long, text_hash long, side int, term long, weight int")
     samples = weighted.least_samples(frame).collect()
-    sides = {(r["doc_id"], r["side"]): [r[f"m{i}"] for i in range(64)]
+    sides = {(r["id_key"], r["side"]): [r[f"m{i}"] for i in range(64)]
              for r in samples}
     errors = []
     for pair, want in truth.items():
