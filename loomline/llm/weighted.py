@@ -6,14 +6,15 @@ t = floor(ln S / r + b) it is ranked by ln a = ln c - r (t - b + 1). The sample
 term of least a with its t: two texts draw the same one with the probability that
 equals their generalised Jaccard similarity, sum of minima over sum of maxima.
 
-A round deals terms by hash to `BINS` bins and draws one sample per bin, so `ROUNDS`
-draws per term give ROUNDS x BINS samples. A bin's terms are a random part of both texts,
-so the rate of equal samples is the similarity of such parts on average. A bin that is empty in both texts says
-nothing and is left out; the likeness is the share of equal samples among the others.
+Each of the `ROUNDS` samples is drawn over all terms of the text, whatever their number;
+the likeness is the share of equal samples.
 
 Weights are counted inside the row, so terms are exploded but never shuffled: the least
-ranks are primitive minima, taken where the text already is. Next
-documents come from positions numbered by range partitions; a document is sent its
+ranks are primitive minima, taken where the text already is. A term that a text and its
+edited form both hold once is drawn for both at a time. The least a of a text of n
+shingles is exponential with mean 1 / n, so draws that are surely above `REACH` / n are
+left before their logarithms; that a sample lies there has a chance of exp(-REACH), 4e-18.
+Next documents come from positions numbered by range partitions; a document is sent its
 successor's first characters only.
 
 Null texts are empty. Texts without words have an empty fingerprint, alike to another
@@ -30,14 +31,14 @@ from loomline.operators.ordinals import number_rows
 from loomline.staging import stage
 
 SHINGLE = 5
-ROUNDS = 1
-BINS = 64
+ROUNDS = 64
+REACH = 40.0
 DIGITS = 4
 EMPTY = "." * DIGITS
 SPACE = r"[\x20\x09-\x0D]+"
 KEY = ["id_key", "text_hash"]
 NO_ID = -(1 << 63)  # stands for a null doc_id, so that keys join by plain equality
-OWN, EDITED, DIGEST = 0, 1, 2
+OWN, EDITED, DIGEST, BOTH = 0, 1, 2, 3
 
 
 def words_of(text: Column) -> Column:
@@ -60,6 +61,20 @@ def last_places(hashes: Column) -> Column:
         F.array().cast("array<int>"))
 
 
+def repeats(hashes: Column, wanted: bool) -> Column:
+    """Of a sorted array, the values that stand in it more than once, or those that do not."""
+    def again(x: Column, i: Column) -> Column:
+        twice = x.eqNullSafe(F.get(hashes, i - 1)) | x.eqNullSafe(F.get(hashes, i + 1))
+        return twice if wanted else ~twice
+
+    return F.filter(hashes, again)
+
+
+def single_terms(hashes: Column, side: int) -> Column:
+    return F.transform(hashes, lambda x: F.struct(
+        F.lit(side).alias("side"), x.alias("term"), F.lit(1).alias("weight")))
+
+
 def weighted_terms(hashes: Column, ends: Column, side: int) -> Column:
     """Structs (side, term, weight) from sorted hashes and the ends of their runs."""
     return F.transform(ends, lambda end, i: F.struct(
@@ -81,34 +96,42 @@ def uniform(bits: Column, shift: int, width: int) -> Column:
     return (part + F.lit(0.5)) / F.lit(float(1 << width))
 
 
-def draw() -> tuple[Column, Column, Column]:
-    """r, ln c and b of a term in a round, from its two hashes."""
-    r = -F.log(uniform(F.col("_one"), 0, 30) * uniform(F.col("_one"), 30, 30))
-    log_c = F.log(-F.log(uniform(F.col("_two"), 0, 24) * uniform(F.col("_two"), 24, 24)))
-    return r, log_c, uniform(F.col("_two"), 48, 16)
+def gammas() -> tuple[Column, Column, Column]:
+    """exp(-r), exp(-c) and b of a term in a round, from its two hashes."""
+    one, two = F.xxhash64("term", "_round"), F.xxhash64("_round", "term")
+    return (uniform(one, 0, 30) * uniform(one, 30, 30),
+            uniform(two, 0, 24) * uniform(two, 24, 24), uniform(two, 48, 16))
 
 
 def least_samples(terms: DataFrame) -> DataFrame:
-    """Per text and side the least sample of every round and bin, and the digest's parts."""
-    rounds = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("_round"))
-    hashed = rounds.withColumns({"_one": F.xxhash64("term", "_round"),
-                                 "_two": F.xxhash64("_round", "term")})
-    r, log_c, b = draw()
-    drawn = hashed.withColumns({"_r": r, "_c": log_c, "_b": b})
+    """Per text and side the least sample of every round, and the digest's parts.
+
+    `total`, where given, is at most the sum of the weights of any side that holds the term.
+    """
+    digest = F.col("side") == DIGEST
+    every = F.array(*[F.lit(i) for i in range(ROUNDS)])
+    rounds = terms.select(
+        "*", F.explode(F.when(digest, F.array("weight")).otherwise(every)).alias("_round"))
+    r_exp, c_exp, b = gammas()
+    if "total" in terms.columns:  # a >= c exp(-r) / S and c >= 1 - exp(-c)
+        least = r_exp * (1 - c_exp) * F.col("total")
+        rounds = rounds.where(digest | (least <= REACH * F.col("weight")))
+    drawn = rounds.withColumns({"_r": -F.log(r_exp), "_c": F.log(-F.log(c_exp)), "_b": b})
     timed = drawn.withColumn("_t", F.floor(F.log("weight") / F.col("_r") + F.col("_b")))
     rank = F.col("_c") - F.col("_r") * (F.col("_t") - F.col("_b") + 1)
     scaled = F.least(F.greatest((rank + 64.0) * float(1 << 23), F.lit(0.0)), F.lit(2.0 ** 30))
     sample = F.xxhash64("term", "_t", "_round").bitwiseAND(F.lit(0xFFFFFFFF))
-    ranked = timed.select(
-        *KEY, "side", "term", "weight",
-        F.shiftleft(scaled.cast("long"), 32).bitwiseOR(sample).alias("v"),
-        (F.col("_round") * BINS + F.pmod(F.xxhash64("_two"), F.lit(BINS))).cast("int").alias("slot"),
-    )
-    least = [F.min(F.when(F.col("slot") == i, F.col("v"))).alias(f"m{i}")
-             for i in range(ROUNDS * BINS)]
-    digest = [F.max(F.when((F.col("side") == DIGEST) & (F.col("weight") == i), F.col("term")))
-              .alias(f"d{i}") for i in range(4)]
-    return ranked.groupBy(*KEY, "side").agg(*least, *digest)
+    ranked = timed.select(*KEY, "side", "term", "_round",
+                          F.shiftleft(scaled.cast("long"), 32).bitwiseOR(sample).alias("v"))
+    of = lambda side: F.min(F.when(F.col("side").isin(side, BOTH), F.col("v")))
+    found = ranked.groupBy(*KEY, "_round").agg(
+        of(OWN).alias("own"), of(EDITED).alias("edited"), F.max(F.when(digest, F.col("term"))).alias("part"))
+    sides = found.select(*KEY, "_round", F.inline(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(name).alias("v"))
+        for side, name in ((OWN, "own"), (EDITED, "edited"), (DIGEST, "part"))]))).where("v IS NOT NULL")
+    at = lambda i: F.max(F.when(F.col("_round") == i, F.col("v")))
+    return sides.groupBy(*KEY, "side").agg(
+        *[at(i).alias(f"m{i}") for i in range(ROUNDS)])
 
 
 def keys() -> list[Column]:
@@ -155,28 +178,37 @@ def signatures(texts: DataFrame) -> DataFrame:
         words_of(F.col("text")).alias("own"), words_of(F.col("edited")).alias("new"))
     hashed = cut.select(*KEY, "digest", shingle_hashes(F.col("own")).alias("own"),
                         shingle_hashes(F.col("new")).alias("new"))
-    ended = hashed.withColumns({"own_ends": last_places(F.col("own")),
-                                "new_ends": last_places(F.col("new"))})
-    listed = F.concat(weighted_terms(F.col("own"), F.col("own_ends"), OWN),
-                      weighted_terms(F.col("new"), F.col("new_ends"), EDITED), "digest")
-    least = least_samples(ended.select(*KEY, F.inline(listed)))
-    samples = F.array(*[F.col(f"m{i}") for i in range(ROUNDS * BINS)])
+    parted = hashed.select(
+        *KEY, "digest",
+        F.least(*[F.greatest(F.size(x), F.lit(1)) for x in ("own", "new")]).alias("total"),
+        *[repeats(F.col(x), wanted).alias(f"{x}_{name}") for x in ("own", "new")
+          for name, wanted in (("more", True), ("once", False))])
+    ended = parted.withColumns({"own_ends": last_places(F.col("own_more")),
+                                "new_ends": last_places(F.col("new_more"))})
+    listed = F.concat(
+        single_terms(F.array_intersect("own_once", "new_once"), BOTH),
+        single_terms(F.array_except("own_once", "new_once"), OWN),
+        single_terms(F.array_except("new_once", "own_once"), EDITED),
+        weighted_terms(F.col("own_more"), F.col("own_ends"), OWN),
+        weighted_terms(F.col("new_more"), F.col("new_ends"), EDITED), "digest")
+    least = least_samples(ended.select(*KEY, "total", F.inline(listed)))
+    samples = F.array(*[F.col(f"m{i}") for i in range(ROUNDS)])
     short = F.transform(samples, lambda x: x.bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1)).cast("int"))
     digest = F.when(F.col("side") == DIGEST, F.lower(F.concat(*[
-        F.lpad(F.hex(f"d{i}"), 16, "0") for i in range(4)])))
+        F.lpad(F.hex(f"m{i}"), 16, "0") for i in range(4)])))
     return stage(least.select(*KEY, "side", short.alias("samples"), digest.alias("digest")),
                  "signatures")
 
 
 def printed(samples: Column) -> Column:
-    none = F.array_repeat(F.lit(None).cast("int"), ROUNDS * BINS)
+    none = F.array_repeat(F.lit(None).cast("int"), ROUNDS)
     return F.array_join(F.transform(F.coalesce(samples, none), lambda x: F.coalesce(
         F.lower(F.lpad(F.hex(x), DIGITS, "0")), F.lit(EMPTY))), "")
 
 
 def likeness(one: Column, two: Column) -> Column:
-    """Share of equal samples among the bins that either text fills; 1 for two empty texts."""
-    none = F.array_repeat(F.lit(None).cast("int"), ROUNDS * BINS)
+    """Share of equal samples; 1 for two empty texts, 0 for an empty one and another."""
+    none = F.array_repeat(F.lit(None).cast("int"), ROUNDS)
     pairs = F.arrays_zip(F.coalesce(one, none).alias("a"), F.coalesce(two, none).alias("b"))
     filled = F.filter(pairs, lambda x: x["a"].isNotNull() | x["b"].isNotNull())
     equal = F.filter(filled, lambda x: x["a"] == x["b"])

@@ -170,3 +170,55 @@ def test_collision_rate_is_generalised_jaccard(spark):
         both = [(a, b) for a, b in zip(sides[pair, 0], sides[pair, 1]) if a or b]
         errors.append(sum(a == b for a, b in both) / len(both) - want)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.12
+
+
+def likeness_of_weights(spark, pairs, total=None):
+    """Shares of equal samples of pairs of weights (term -> weight), each over 64 samples."""
+    rows = [(pair, 0, side, term, weight) for pair, sides in enumerate(pairs)
+            for side, terms in enumerate(sides) for term, weight in terms.items()]
+    frame = spark.createDataFrame(
+        rows, "id_key long, text_hash long, side int, term long, weight int")
+    if total:
+        frame = frame.crossJoin(spark.createDataFrame([(total,)], "total int"))
+    found = {(r["id_key"], r["side"]): [r[f"m{i}"] for i in range(64)]
+             for r in weighted.least_samples(frame).collect()}
+    assert all(value is not None for values in found.values() for value in values)
+    return found, [np.mean([a == b for a, b in zip(found[i, 0], found[i, 1])])
+                   for i in range(len(pairs))]
+
+
+def test_samples_of_repeated_lines_and_short_texts(spark):
+    """Heavy terms count by their weight, and few terms still give all samples."""
+    heavy = []
+    for n in range(20):
+        line = {n * 10_000 + i: 1000 for i in range(10)}
+        heavy.append([line | {n * 10_000 + 100 + 200 * side + i: 1 for i in range(200)}
+                      for side in (0, 1)])
+    found, rates = likeness_of_weights(spark, heavy)
+    assert abs(np.mean(rates) - 10_000 / 10_400) < 0.02
+    assert likeness_of_weights(spark, heavy, total=10_200)[0] == found  # what is left early is no sample
+    short = [[{n * 10 + i: 1 for i in range(3)}, {n * 10 + i: 1 for i in (1, 2, 3)}]
+             for n in range(100)]
+    _, rates = likeness_of_weights(spark, short)
+    assert abs(np.mean(rates) - 0.5) < 0.03 and np.std(rates) < 0.1
+
+
+def test_likeness_of_texts_with_repeats_and_few_words(spark):
+    """Own, edited and next texts against the generalised Jaccard of their shingles."""
+    texts = ["the same line stands here again\n" * 300 + " ".join(f"a{i}" for i in range(150)),
+             "the same line stands here again\n" * 300 + " ".join(f"b{i}" for i in range(150)),
+             "one two three four five six seven", "one two three four five six eight", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in weighted.fingerprint_report(docs).collect()}
+
+    def jaccard(one, two):
+        one, two = [Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
+                    for w in (one.split(), two.split())]
+        return sum((one & two).values()) / sum((one | two).values())
+
+    for i, text in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        edited = text[:len(text) - len(text) // 4] + after[:len(text) // 4]
+        assert abs(got[i]["near_next"] - jaccard(text, after)) < 0.2
+        assert abs(got[i]["near_edited"] - jaccard(text, edited)) < 0.2
+    assert got[0]["near_next"] > 0.75
