@@ -187,15 +187,25 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return reduce(DataFrame.union, found).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id of every row, the least doc_id reachable over links."""
-    marked = stage(docs.select("doc_id", fingerprint_of(F.col(text)).alias("fp")), "prints")
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def rooted_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, fp, text_hash, root and component_id of every row; a root names a component."""
+    marked = stage(docs.select("doc_id", fingerprint_of(F.col(text)).alias("fp"),
+                               text_hash(text).alias("text_hash")), "prints")
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stage(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = stage(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return marked.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, fp and component_id of every row, the least doc_id reachable over links."""
+    return rooted_rows(docs, text).select("doc_id", "fp", "component_id")
 
 
 def duplicate_report(docs: DataFrame) -> DataFrame:
@@ -205,12 +215,19 @@ def duplicate_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents less near copies: of each component the row of least doc_id stays.
+    """The documents less near copies: of each component one row stays.
 
-    Rows with a null doc_id stay only where their whole component has none; of rows
-    that share the least doc_id one stays.
+    It is that of least doc_id, null last, then of least text hash; of rows that share
+    both one stays. So a row with a null doc_id stays only where its whole component has
+    none, and every component keeps a row, whatever ids it shares with others.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("__kept_id")).distinct()
-    survivors = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return survivors.dropDuplicates(["doc_id"])
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"),
+                           F.col("text_hash").alias("hash")))
+    kept = stage(rooted_rows(docs).groupBy("root").agg(least.alias("least"))
+                 .select(F.col("least.id").alias("__kept_id"),
+                         F.col("least.hash").alias("__kept_hash")), "kept")
+    hashed = docs.withColumn("__text_hash", text_hash())
+    same = (F.col("doc_id").eqNullSafe(F.col("__kept_id"))
+            & (F.col("__text_hash") == F.col("__kept_hash")))
+    survivors = hashed.join(kept, same, "left_semi")
+    return survivors.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")

@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 
 from loomline.llm import components, decontam, simhash, weighted
+from tests.llm.conftest import prose
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -222,3 +223,20 @@ def test_likeness_of_texts_with_repeats_and_few_words(spark):
         assert abs(got[i]["near_next"] - jaccard(text, after)) < 0.2
         assert abs(got[i]["near_edited"] - jaccard(text, edited)) < 0.2
     assert got[0]["near_next"] > 0.75
+
+
+def test_one_of_each_keeps_every_component(spark):
+    """Null ids, one id with two texts, and copies: each component keeps exactly one row."""
+    rows = [(None, prose(n, 60)) for n in range(500, 505)] + [(None, prose(500, 60))]
+    rows += [(20, prose(510, 60)), (20, prose(511, 60)), (21, prose(511, 60)), (20, prose(511, 60))]
+    rows += [(None, prose(512, 60)), (30, prose(512, 60)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"] or "") for r in simhash.one_of_each(docs).collect()]
+    roots = plain_components([plain_fingerprint(text) for _, text in rows])
+    best = {}
+    for doc, text in rows:
+        root = roots[plain_fingerprint(text)]
+        best[root] = min(best.get(root, (True, 0)), (doc is None, doc or 0))
+    got = Counter((roots[plain_fingerprint(text)], doc is None, doc or 0) for doc, text in kept)
+    assert got == Counter((root, *least) for root, least in best.items())
+    assert len(best) == 9
