@@ -4,11 +4,12 @@ Terms are whole words and word beginnings. A term's score is the log-odds of tox
 against other documents, each class smoothed by a Dirichlet prior that follows the
 pooled counts, so a term seen once says little. Words count by documents; beginnings
 count by distinct words, so one frequent word does not speak for all that start alike,
-and are in turn the prior of the words below them. A word repeated in a text scores once.
-Only significant terms are kept; every other token has one small negative score.
+and are in turn the prior of the words below them. Only significant terms are kept; every other token has one small negative score.
 
 A linear scan (all maximal scoring subsequences) finds every passage of a text whose
-score rises above its surroundings. Passages are judged by extreme-value statistics:
+score rises above its surroundings; every occurrence of a term scores in it. What a passage
+counts for is the best of its windows, in which each word scores once, where it last
+occurs, and its repeats score nothing. Passages are judged by extreme-value statistics:
 by chance a text of n tokens has K n exp(-lambda S) passages of score S or more.
 Lambda solves sum p exp(lambda s) = 1 over the scores of clean training tokens, K is
 fitted on clean training texts. A document's evidence is the sum of ln(1 / E) over its
@@ -104,17 +105,46 @@ def scan(text: str | None, scores: Scores, rest: float) -> tuple[int, list[tuple
     """Number of tokens, and the passages as token positions."""
     words = WORD.findall((text or "").lower())
     values = list(map(scores.__getitem__, words))
-    hits = first_uses(words, values)
-    return len(words), passages(hits, rest) if hits else []
-
-
-def first_uses(words: list[str], values: list[float]) -> list[tuple[int, float]]:
-    """Positions and scores of scoring words, each where it first occurs."""
-    seen: dict[str, tuple[int, float]] = {}
-    for i, value in enumerate(values):
-        if value > 0.0:
-            seen.setdefault(words[i], (i, value))
-    return list(seen.values())
+    return len(words), damped(words, values, rest)
+
+
+def damped(words: list[str], values: list[float], rest: float) -> list[tuple[int, int, float]]:
+    """All passages over every scoring token, each with the score of its best window."""
+    hits = [(i, value) for i, value in enumerate(values) if value > 0.0]
+    out, at = [], 0
+    for first, last, score in passages(hits, rest) if hits else []:
+        while hits[at][0] < first:
+            at += 1
+        start = at
+        while at < len(hits) and hits[at][0] <= last:
+            at += 1
+        inside = hits[start:at]
+        if len({words[i] for i, _ in inside}) < len(inside):
+            score = best_window(words, inside, rest)
+        out.append((first, last, score))
+    return out
+
+
+def best_window(words: list[str], hits: list[tuple[int, float]], rest: float) -> float:
+    """The largest score of a window of tokens in which each word scores once.
+
+    A window starts at the last use of one of its words; words are kept by last use.
+    """
+    uses: dict[str, tuple[float, int]] = {}  # score, neutral tokens before it
+    best, whole = 0.0, 0.0
+    for n, (position, score) in enumerate(hits):
+        if uses.pop(words[position], None) is None:
+            whole += score
+        neutral = position - n
+        uses[words[position]] = (score, neutral)
+        total = 0.0
+        for value, before in reversed(uses.values()):
+            gaps = rest * (neutral - before)
+            if whole + gaps <= best:
+                break
+            total += value
+            best = max(best, total + gaps)
+    return best
 
 
 def evidence(tokens: int, found: list[tuple[int, int, float]], model: Model) -> float:
@@ -233,9 +263,9 @@ def calibrate(texts: DataFrame, model: Model) -> None:
             for text, label in zip(batch["text"], batch["label"]):
                 words = WORD.findall(text.lower())
                 values = [scores[word] for word in words]
-                hits = first_uses(words, values)
-                found = passages(hits, rest) if hits else []
-                out.append((int(label), len(words), [p[2] for p in found], [v for _, v in hits]))
+                found = damped(words, values, rest)
+                out.append((int(label), len(words), [p[2] for p in found],
+                            [value for value in values if value > 0.0]))
             yield pd.DataFrame(out, columns=["label", "tokens", "runs", "hits"])
 
     schema = "label int, tokens long, runs array<double>, hits array<double>"

@@ -250,3 +250,31 @@ def test_quality_learns(judged, documents, nothing):
     assert len(scores) == documents.count() and all(0 <= r["score"] <= 1 for r in scores)
     assert quality.quality_report(nothing, labels).count() == 0
     assert {r["score"] for r in quality.quality_report(documents, labels.where("doc_id < 0")).collect()} == {0.5}
+
+
+def test_later_passages_of_the_same_words_are_found():
+    """Every occurrence scores in the scan; inside one passage a word counts once."""
+    terms = {"bad": 3.0, "vile": 3.0, "mean": 2.0}
+    scores = toxicity.Scores(terms)
+    passage, gap = "bad vile mean", " ".join(["calm"] * 200)
+    _, found = toxicity.scan(f"{passage} {gap} {passage}", scores, -0.1)
+    assert [(a, b) for a, b, _ in found] == [(0, 2), (203, 205)]
+    assert [s for *_, s in found] == pytest.approx([8.0, 8.0])
+    scattered = f" {' '.join(['calm'] * 60)} ".join(terms)
+    _, found = toxicity.scan(f"{scattered} {gap} {passage}", scores, -0.1)
+    assert max(s for *_, s in found) == pytest.approx(8.0)
+    _, found = toxicity.scan("bad " * 50, scores, -0.1)
+    assert [s for *_, s in found] == pytest.approx([3.0])
+
+
+def test_best_window_matches_brute_force():
+    import random
+    dice = random.Random(4)
+    for _ in range(200):
+        words = [dice.choice("abcd......") for _ in range(dice.randint(1, 25))]
+        values = [{"a": 1.0, "b": 0.5, "c": 0.3, "d": 2.0}.get(word, 0.0) for word in words]
+        hits = [(i, v) for i, v in enumerate(values) if v]
+        want = max((sum({words[i]: values[i] for i in range(a, b + 1)}.values())
+                    - 0.2 * words[a:b + 1].count(".")
+                    for a, _ in hits for b, _ in hits if a <= b), default=0.0)
+        assert toxicity.best_window(words, hits, -0.2) == pytest.approx(want)
