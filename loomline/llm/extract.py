@@ -161,7 +161,7 @@ def teaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             examples = [(tree, labels)]
             known = dom.text_of(tree, [label == 1 for label in labels]) or dom.text_of(
                 tree, [not x for x in dom.hidden(tree)])
-            lines = known.split("\n")[:40]
+            lines = known.split("\n")
             dice = random.Random(len(known) * 31 + sum(known[:200].encode()))
             for _ in range(VARIANTS):
                 if lines:
@@ -198,13 +198,21 @@ def flat_trees(model: GBTClassificationModel) -> list[tuple[float, list[tuple]]]
     return out
 
 
-def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> list[tuple[float, list[tuple]]]:
-    """Boosted trees from at most `sample_pages` pages."""
-    sample = stage(
-        hash_sample(pages.where("html IS NOT NULL AND html <> ''").select("html"),
-                    F.col("html"), sample_pages).repartition(8, F.xxhash64("html")),
-        "sample-pages",
+def sampled(pages: DataFrame, sample_pages: int) -> DataFrame:
+    """At most `sample_pages` different pages, however often each stands in the table."""
+    keyed = pages.where("html IS NOT NULL AND html <> ''").select(
+        "html", F.xxhash64("html").alias("_hash"), F.char_length("html").alias("_chars"))
+    different = stage(keyed.select("_hash", "_chars").distinct(), "page-keys")
+    chosen = stage(hash_sample(different, F.col("_hash"), sample_pages), "sample-keys")
+    return (
+        keyed.join(chosen, ["_hash", "_chars"], "left_semi")
+        .groupBy("_hash", "_chars").agg(F.first("html").alias("html")).select("html")
     )
+
+
+def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> list[tuple[float, list[tuple]]]:
+    """Boosted trees from at most `sample_pages` different pages."""
+    sample = stage(sampled(pages, sample_pages).repartition(8, F.xxhash64("html")), "sample-pages")
     nodes = stage(sample.select("html").mapInPandas(teaching, "label double, x array<double>"),
                   "nodes")
     if nodes.select("label").distinct().count() < 2:

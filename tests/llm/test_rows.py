@@ -278,3 +278,29 @@ def test_best_window_matches_brute_force():
                     - 0.2 * words[a:b + 1].count(".")
                     for a, _ in hits for b, _ in hits if a <= b), default=0.0)
         assert toxicity.best_window(words, hits, -0.2) == pytest.approx(want)
+
+
+def test_training_pages_are_different_pages(spark):
+    """Copies neither crowd out other pages nor let the sample come out empty."""
+    page = lambda n: f"<html><body><nav>menu {n}</nav><article><p>{prose(n, 40)}</p></article></body></html>"
+    rows = [(page(0),)] * 3000 + [(page(n),) for n in range(1, 30)]
+    frame = spark.createDataFrame(rows, "html string").repartition(4)
+    got = [r["html"] for r in extract.sampled(frame, 300).collect()]
+    assert sorted(got) == sorted({html for html, in rows})
+    many = spark.createDataFrame([(page(n),) for n in range(20) for _ in range(500)], "html string")
+    few = [r["html"] for r in extract.sampled(many, 4).collect()]
+    assert len(few) == len(set(few)) == 4
+
+
+def test_rebuilt_pages_use_all_lines():
+    import pandas as pd
+    lines = [f"line number{n}" for n in range(400)]
+    html = "<html><body><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article></body></html>"
+    seen = []
+    kept = extract.rebuilt
+    try:
+        extract.rebuilt = lambda some, dice: seen.extend(some) or kept(some, dice)
+        list(extract.teaching(iter([pd.DataFrame({"html": [html]})])))
+    finally:
+        extract.rebuilt = kept
+    assert any(lines.index(x) >= 40 for x in seen)
