@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import (
-    decontam, extract, mixing, oracles, quality, ring, secrets, simhash, toxicity, warc,
-    weighted,
+    decontam, extract, grace, middle, mixing, negatives, oracles, quality, ring, secrets, simhash,
+    toxicity, warc, weighted,
 )
 from loomline.llm.tables import table
 
@@ -57,6 +57,18 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.middle_report(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace.duplicates_report(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negatives_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -68,10 +80,16 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_main_text": op9_main_text,
     "op10_mixture": op10_mixture,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exact_duplicates": op12_exact_duplicates,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
     "op1_warc": oracles.WARC,
     "op4_decontamination": oracles.DECONTAMINATION,
     "op10_mixture": oracles.MIXTURE,
+    "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
+    "op12_exact_duplicates": oracles.EXACT_DUPLICATES,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }

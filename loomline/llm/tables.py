@@ -23,6 +23,14 @@ def literal_array(values: list, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{ddl}>")
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that the table does not have, in upper or lower case."""
+    taken = {name.lower() for name in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def full_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
