@@ -13,7 +13,9 @@ Weights are counted inside the row, so terms are exploded but never shuffled: th
 ranks are primitive minima, taken where the text already is. A term that a text and its
 edited form both hold once is drawn for both at a time. The least a of a text of n
 shingles is exponential with mean 1 / n, so draws that are surely above `REACH` / n are
-left before their logarithms; that a sample lies there has a chance of exp(-REACH), 4e-18.
+left before their logarithms. Where the least a found is above it too, which has a chance
+of exp(-REACH), one in 160,000, the sample is drawn again over all terms: the result
+is that of all draws. Texts are unique by id and hash before they meet their successors.
 Next documents come from positions numbered by range partitions; a document is sent its
 successor's first characters only.
 
@@ -32,7 +34,7 @@ from loomline.staging import stage
 
 SHINGLE = 5
 ROUNDS = 64
-REACH = 40.0
+REACH = 12.0
 DIGITS = 4
 EMPTY = "." * DIGITS
 SPACE = r"[\x20\x09-\x0D]+"
@@ -103,35 +105,43 @@ def gammas() -> tuple[Column, Column, Column]:
             uniform(two, 0, 24) * uniform(two, 24, 24), uniform(two, 48, 16))
 
 
+def scaled(rank: Column) -> Column:
+    """ln a as a whole number of 31 bits, in order."""
+    return F.least(F.greatest((rank + 64.0) * float(1 << 23), F.lit(0.0)), F.lit(2.0 ** 30)).cast("long")
+
+
 def least_samples(terms: DataFrame) -> DataFrame:
-    """Per text and side the least sample of every round, and the digest's parts.
+    """Per text and side the least sample of every round and `total`, and the digest's parts.
 
-    `total`, where given, is at most the sum of the weights of any side that holds the term.
+    `total` is at most the sum of the weights of any side that holds the term. Where the
+    terms have `rounds`, only these are drawn, and all their draws are kept.
     """
     digest = F.col("side") == DIGEST
-    every = F.array(*[F.lit(i) for i in range(ROUNDS)])
-    rounds = terms.select(
-        "*", F.explode(F.when(digest, F.array("weight")).otherwise(every)).alias("_round"))
+    some, bounded = "rounds" in terms.columns, "total" in terms.columns
+    terms = terms if bounded else terms.withColumn("total", F.lit(1))
+    every = F.col("rounds") if some else F.array(*[F.lit(i) for i in range(ROUNDS)])
+    rounds = terms.select(*KEY, "side", "term", "weight", "total", F.explode(
+        F.when(digest, F.array("weight")).otherwise(every)).alias("_round"))
     r_exp, c_exp, b = gammas()
-    if "total" in terms.columns:  # a >= c exp(-r) / S and c >= 1 - exp(-c)
+    if bounded and not some:  # a >= c exp(-r) / S and c >= 1 - exp(-c)
         least = r_exp * (1 - c_exp) * F.col("total")
         rounds = rounds.where(digest | (least <= REACH * F.col("weight")))
     drawn = rounds.withColumns({"_r": -F.log(r_exp), "_c": F.log(-F.log(c_exp)), "_b": b})
     timed = drawn.withColumn("_t", F.floor(F.log("weight") / F.col("_r") + F.col("_b")))
     rank = F.col("_c") - F.col("_r") * (F.col("_t") - F.col("_b") + 1)
-    scaled = F.least(F.greatest((rank + 64.0) * float(1 << 23), F.lit(0.0)), F.lit(2.0 ** 30))
     sample = F.xxhash64("term", "_t", "_round").bitwiseAND(F.lit(0xFFFFFFFF))
-    ranked = timed.select(*KEY, "side", "term", "_round",
-                          F.shiftleft(scaled.cast("long"), 32).bitwiseOR(sample).alias("v"))
+    ranked = timed.select(*KEY, "side", "term", "_round", "total",
+                          F.shiftleft(scaled(rank), 32).bitwiseOR(sample).alias("v"))
     of = lambda side: F.min(F.when(F.col("side").isin(side, BOTH), F.col("v")))
     found = ranked.groupBy(*KEY, "_round").agg(
-        of(OWN).alias("own"), of(EDITED).alias("edited"), F.max(F.when(digest, F.col("term"))).alias("part"))
-    sides = found.select(*KEY, "_round", F.inline(F.array(*[
+        of(OWN).alias("own"), of(EDITED).alias("edited"),
+        F.max(F.when(digest, F.col("term"))).alias("part"), F.max("total").alias("total"))
+    sides = found.select(*KEY, "_round", "total", F.inline(F.array(*[
         F.struct(F.lit(side).alias("side"), F.col(name).alias("v"))
         for side, name in ((OWN, "own"), (EDITED, "edited"), (DIGEST, "part"))]))).where("v IS NOT NULL")
     at = lambda i: F.max(F.when(F.col("_round") == i, F.col("v")))
     return sides.groupBy(*KEY, "side").agg(
-        *[at(i).alias(f"m{i}") for i in range(ROUNDS)])
+        F.max("total").alias("total"), *[at(i).alias(f"m{i}") for i in range(ROUNDS)])
 
 
 def keys() -> list[Column]:
@@ -163,7 +173,7 @@ def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
     """
     named = order.select(*KEY, F.floor(F.col("n_chars") / 4).cast("int").alias("take"), "n_chars",
                          "prev_id", "prev_hash", F.col("prev_take").cast("int").alias("prev_take"))
-    met = docs.select(*keys(), full_text().alias("text")).join(named, KEY)
+    met = docs.select(*keys(), full_text().alias("text")).dropDuplicates(KEY).join(named, KEY)
     starts = met.select(
         F.col("prev_id").alias("id_key"), F.col("prev_hash").alias("text_hash"),
         F.substring("text", F.lit(1), F.col("prev_take")).alias("start"))
@@ -171,15 +181,17 @@ def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
     return met.join(starts, KEY).select(*KEY, "text", F.concat(kept, "start").alias("edited"))
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """Samples of own and edited texts and the edited text's digest, per document and side."""
+def listed_terms(texts: DataFrame) -> DataFrame:
+    """(id_key, text_hash, total, side, term, weight) of own and edited texts, and digest parts."""
     cut = texts.select(
-        *KEY, digest_parts(F.col("edited")).alias("digest"),
+        *KEY, *[c for c in texts.columns if c == "rounds"],
+        digest_parts(F.col("edited")).alias("digest"),
         words_of(F.col("text")).alias("own"), words_of(F.col("edited")).alias("new"))
-    hashed = cut.select(*KEY, "digest", shingle_hashes(F.col("own")).alias("own"),
+    kept = [c for c in cut.columns if c not in ("own", "new")]
+    hashed = cut.select(*kept, shingle_hashes(F.col("own")).alias("own"),
                         shingle_hashes(F.col("new")).alias("new"))
     parted = hashed.select(
-        *KEY, "digest",
+        *kept,
         F.least(*[F.greatest(F.size(x), F.lit(1)) for x in ("own", "new")]).alias("total"),
         *[repeats(F.col(x), wanted).alias(f"{x}_{name}") for x in ("own", "new")
           for name, wanted in (("more", True), ("once", False))])
@@ -191,13 +203,43 @@ def signatures(texts: DataFrame) -> DataFrame:
         single_terms(F.array_except("new_once", "own_once"), EDITED),
         weighted_terms(F.col("own_more"), F.col("own_ends"), OWN),
         weighted_terms(F.col("new_more"), F.col("new_ends"), EDITED), "digest")
-    least = least_samples(ended.select(*KEY, "total", F.inline(listed)))
-    samples = F.array(*[F.col(f"m{i}") for i in range(ROUNDS)])
-    short = F.transform(samples, lambda x: x.bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1)).cast("int"))
+    return ended.select(*[c for c in kept if c != "digest"], "total", F.inline(listed))
+
+
+def short(sample: Column) -> Column:
+    return sample.bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1)).cast("int")
+
+
+def signatures(docs: DataFrame, order: DataFrame) -> DataFrame:
+    """Samples of own and edited texts and the edited text's digest, per document and side."""
+    values = F.array(*[F.col(f"m{i}") for i in range(ROUNDS)])
     digest = F.when(F.col("side") == DIGEST, F.lower(F.concat(*[
         F.lpad(F.hex(f"m{i}"), 16, "0") for i in range(4)])))
-    return stage(least.select(*KEY, "side", short.alias("samples"), digest.alias("digest")),
-                 "signatures")
+    reached = scaled(F.log(REACH / F.col("total")))
+    open_rounds = F.filter(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), lambda i: F.coalesce(
+        F.shiftright(F.get(F.col("values"), i), 32) >= F.col("reached"), F.lit(True)))
+    first = stage(
+        least_samples(listed_terms(edited_texts(docs, order)))
+        .select(*KEY, "side", values.alias("values"), digest.alias("digest"), reached.alias("reached"))
+        .select(*KEY, "side", F.transform("values", short).alias("samples"), "digest",
+                F.when(F.col("side") != DIGEST, open_rounds).alias("open")), "signatures")
+    # The few samples whose least rank is not below what was left out are drawn over all terms.
+    asked = stage(
+        first.where(F.size("open") > 0).select(*KEY, F.explode("open").alias("round"))
+        .groupBy(*KEY).agg(F.collect_set("round").alias("rounds")), "open-samples")
+    needed = stage(
+        asked.join(order, KEY).select(F.inline(F.array(
+            F.struct(*[F.col(c).alias(f"_{c}") for c in KEY]),
+            F.struct(F.col("next_id").alias("_id_key"), F.col("next_hash").alias("_text_hash")))))
+        .distinct(), "open-texts")
+    found = [own == F.col(f"_{c}") for own, c in zip(keys(), KEY)]
+    texts = edited_texts(docs.join(needed, found[0] & found[1], "left_semi"), order)
+    again = least_samples(listed_terms(texts.join(asked, KEY))).where(F.col("side") != DIGEST)
+    drawn = stage(again.select(*KEY, "side", F.transform(values, short).alias("drawn")), "drawn-again")
+    mended = first.join(drawn, [*KEY, "side"], "left")
+    samples = F.when(F.col("drawn").isNull(), F.col("samples")).otherwise(F.transform(
+        "samples", lambda x, i: F.coalesce(F.get(F.col("drawn"), i), x)))
+    return mended.select(*KEY, "side", samples.alias("samples"), "digest")
 
 
 def printed(samples: Column) -> Column:
@@ -217,7 +259,7 @@ def likeness(one: Column, two: Column) -> Column:
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     order = successors(docs)
-    signed = signatures(edited_texts(docs.select("doc_id", "text"), order))
+    signed = signatures(docs.select("doc_id", "text"), order)
     side = lambda which, name: signed.where(F.col("side") == which).select(
         *KEY, F.col("digest" if which == DIGEST else "samples").alias(name))
     after = side(OWN, "after").withColumnsRenamed({"id_key": "next_id", "text_hash": "next_hash"})

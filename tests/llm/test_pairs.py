@@ -225,6 +225,25 @@ def test_likeness_of_texts_with_repeats_and_few_words(spark):
     assert got[0]["near_next"] > 0.75
 
 
+def test_open_samples_are_drawn_again(spark, documents, monkeypatch):
+    """However little is kept at first, the fingerprints are those of all draws."""
+    results = []
+    for reach in (0.7, 60.0):
+        monkeypatch.setattr(weighted, "REACH", reach)
+        results.append(Counter(weighted.fingerprint_report(documents).collect()))
+    assert results[0] == results[1]
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    rows = [(1, prose(1, 80)), (2, prose(2, 80))] * 60 + [(3, prose(3, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    single = weighted.fingerprint_report(docs.distinct()).collect()
+    got = Counter(weighted.fingerprint_report(docs).collect())
+    assert got == Counter({row: 60 if row["doc_id"] < 3 else 1 for row in single})
+    texts = weighted.edited_texts(docs, weighted.successors(docs))
+    assert texts.count() == 3
+
+
 def test_one_of_each_keeps_every_component(spark):
     """Null ids, one id with two texts, and copies: each component keeps exactly one row."""
     rows = [(None, prose(n, 60)) for n in range(500, 505)] + [(None, prose(500, 60))]
