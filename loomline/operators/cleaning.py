@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomline import rules
 from loomline.functions.listing import normalize_gender
@@ -45,41 +45,51 @@ def clean_minimal(df: DataFrame) -> DataFrame:
     })
 
 
-SKETCH = 10000   # a sketch's ranks are off by at most one part in this many
-BRACKET = 0.001  # on either side of the middle, far more than the sketch may err
+STEPS = 64  # slices per doubling of a value
+LAST_SLICE = 1 << 17  # beyond every finite value's
 
 
-def medians(df: DataFrame, key: str = "brand", value: str = "price") -> DataFrame:
+def value_slice(value: Column) -> Column:
+    """A whole number that never falls as the value rises; some 64 per doubling."""
+    double = value.cast("double")
+    size = F.least(F.log2(1 + F.abs(double)) * STEPS, F.lit(float(LAST_SLICE)))
+    return F.when(F.isnan(double), LAST_SLICE + 1).otherwise(
+        F.floor(F.signum(double) * size)).cast("int")
+
+
+def medians(df: DataFrame, key: str = "brand", value: str = "price",
+            weight: str | None = None) -> DataFrame:
     """Exact lower median per key; values that are null do not count.
 
-    Equal values of a key are counted before any shuffle. A mergeable sketch then
-    brackets every median; values below the bracket are only counted, and just those
-    inside, a few in a thousand, are put in order. So a hot key is never sorted whole.
+    A first pass counts rows per key and slice of values, a few hundred counts per key in
+    which the median's slice is found. A second one counts the values of that slice only
+    and puts them in order. So no value travels that cannot be a median, and a hot key is
+    never sorted. With `weight`, a row stands for that many (a table of counts).
     """
-    counted = stage(
-        df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_rows")),
-        "value-counts",
-    )
-    ends = [0.5 - BRACKET, 0.5 + BRACKET]
-    brackets = stage(
-        df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
-            F.percentile_approx(value, ends, SKETCH).alias("_ends"),
-            F.count(F.lit(1)).alias("_all"),
-        ).select("_key", F.col("_ends")[0].alias("_low"), F.col("_ends")[1].alias("_high"), "_all"),
-        "brackets",
+    rows = F.col(weight) if weight else F.lit(1).cast("long")
+    narrow = stage(
+        df.where(F.col(value).isNotNull())
+        .select(F.col(key).alias("_key"), F.col(value).alias("_value"), rows.alias("_rows")),
+        "values")
+    sliced = narrow.withColumn("_slice", value_slice(F.col("_value")))
+    so_far = Window.partitionBy("_key").orderBy("_slice")
+    whole = Window.partitionBy("_key")
+    counted = (
+        sliced.groupBy("_key", "_slice").agg(F.sum("_rows").alias("_rows"))
+        .withColumns({"_to": F.sum("_rows").over(so_far), "_all": F.sum("_rows").over(whole)})
     )
-    same = F.col("_key").eqNullSafe(F.col("_of"))
-    placed = counted.join(brackets.withColumnRenamed("_key", "_of"), same).drop("_of")
-    below = placed.where(F.col("_value") < F.col("_low")).groupBy("_key").agg(
-        F.sum("_rows").alias("_below"))
-    order = Window.partitionBy("_key").orderBy("_value")
+    holding = stage(
+        counted.where((2 * F.col("_to") >= F.col("_all"))
+                      & (2 * (F.col("_to") - F.col("_rows")) < F.col("_all")))
+        .select(F.col("_key").alias("_of"), F.col("_slice").alias("_in"),
+                (F.col("_to") - F.col("_rows")).alias("_below"), "_all"),
+        "median-slices")
     inside = (
-        placed.where((F.col("_value") >= F.col("_low")) & (F.col("_value") <= F.col("_high")))
-        .withColumn("_to", F.sum("_rows").over(order))
+        sliced.join(holding, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_in")))
+        .groupBy("_key", "_value", "_below", "_all").agg(F.sum("_rows").alias("_rows"))
+        .withColumn("_to", F.sum("_rows").over(Window.partitionBy("_key").orderBy("_value")))
     )
-    reached = inside.join(below.withColumnRenamed("_key", "_of"), same, "left").where(
-        2 * (F.col("_to") + F.coalesce("_below", F.lit(0))) >= F.col("_all"))
+    reached = inside.where(2 * (F.col("_to") + F.col("_below")) >= F.col("_all"))
     return reached.groupBy(F.col("_key").alias(key)).agg(F.min("_value").alias(f"median_{value}"))
 
 

@@ -9,6 +9,7 @@ from loomline.functions.text import as_json_list
 from loomline.operators.dedup import first_wins, fresh, latest_wins
 from loomline.operators.reports import probe_results, probe_summary
 from loomline.schemas import EXPORT_COLUMNS, STORED_COLUMNS
+from loomline.staging import stage
 
 
 def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -44,20 +45,39 @@ def insert_if_absent(batch: DataFrame, target: DataFrame | None, order: list[str
     return first if target is None else fresh(first, target, key)
 
 
+KEY_BUCKETS = 256
+
+
+def key_bucket(key: str, buckets: int = KEY_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def touched(rows: DataFrame, column: str = "bucket") -> list[int]:
+    """The buckets that occur in `rows`, `buckets` numbers at most."""
+    return [row[0] for row in rows.select(column).distinct().collect()]
+
+
 def append_new(batch: DataFrame, path: str, order: list[str], key: str = "url",
-               partition_by: list[str] = ["country"]) -> None:
+               buckets: int = KEY_BUCKETS) -> None:
     """Insert-if-absent into the table at `path`; a replayed batch adds nothing.
 
-    Stored rows get an `id`, the 64-bit fingerprint of their key (the key itself
-    is what is unique), and the time of storing. Files are sized by an adaptive
-    rebalance, which splits partitions of hot countries and merges small ones.
+    The table is partitioned by a hash of its key, and a batch reads the key column of the
+    buckets it has keys for, nothing else; in a file, the key has a Bloom filter for
+    searches by key, and rows lie by country. Stored rows get an `id`, the 64-bit
+    fingerprint of their key (the key itself is what is unique), and the time of storing.
     """
     spark = batch.sparkSession
-    new = insert_if_absent(batch, table_or_none(spark, path), order, key)
+    first = stage(first_wins(batch, [key], order).withColumn("bucket", key_bucket(key, buckets)),
+                  "first-of-key")
+    target = table_or_none(spark, path)
+    if target is not None:
+        known = target.where(F.col("bucket").isin(touched(first))).select("bucket", key)
+        first = first.join(known, ["bucket", key], "left_anti")
     (
-        new.withColumns({"id": F.xxhash64(key), "scraped_at": F.current_timestamp()})
-        .select("id", *STORED_COLUMNS, "scraped_at").hint("rebalance", *partition_by)
-        .write.mode("append").partitionBy(*partition_by).parquet(path)
+        first.withColumns({"id": F.xxhash64(key), "scraped_at": F.current_timestamp()})
+        .select("id", *STORED_COLUMNS, "scraped_at", "bucket").hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "country").write.mode("append")
+        .option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("bucket").parquet(path)
     )
 
 

@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomline.operators.outcomes import with_features
+from loomline.sources.deltas import append_delta, compact, read_state
+
+COMPACT_EVERY = 20
+
+
+def newest(changes: DataFrame) -> DataFrame:
+    """The last state of every domain among changes of several epochs."""
+    state = F.struct("country", "success", "attempts", "last_checked")
+    last = changes.groupBy("domain").agg(F.max_by(state, "epoch").alias("_state"))
+    return last.select("domain", "_state.*")
 
 
 def start_outcome_fold(log: DataFrame, target: str, checkpoint: str,
-                       trigger: dict | None = None) -> StreamingQuery:
+                       trigger: dict | None = None,
+                       compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Keep the latest state per domain of an outcome stream (`domain, country, success, ts`).
 
-    State is one row per domain. Each batch writes the domains it changed into
-    its own folder, overwritten on replay, so a restart repeats nothing.
+    State is one row per domain. Each batch writes the domains it changed, overwritten on
+    replay, so a restart repeats nothing; every so many batches the changes are folded.
     """
     folded = log.groupBy("domain").agg(
         F.min_by("country", "ts").alias("country"),
@@ -23,7 +34,9 @@ def start_outcome_fold(log: DataFrame, target: str, checkpoint: str,
     )
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        append_delta(batch, target, epoch)
+        if (epoch + 1) % compact_every == 0:
+            compact(batch.sparkSession, target, epoch, newest)
 
     return (
         folded.writeStream.foreachBatch(write).outputMode("update")
@@ -34,8 +47,5 @@ def start_outcome_fold(log: DataFrame, target: str, checkpoint: str,
 
 
 def read_outcomes(spark: SparkSession, target: str) -> DataFrame:
-    """Latest state per domain from the changes written so far."""
-    changes = spark.read.option("basePath", target).parquet(target)
-    state = F.struct("country", "success", "attempts", "last_checked")
-    newest = changes.groupBy("domain").agg(F.max_by(state, "epoch").alias("_state"))
-    return with_features(newest.select("domain", "_state.*"))
+    """Latest state per domain: the newest snapshot and the changes after it."""
+    return with_features(newest(read_state(spark, target)))

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomline.operators import cleaning
+from loomline.operators import cleaning, dedup
 from loomline.sources import tables, topic
 from loomline.streaming import cleaner, outcomes
 from tests.test_cleaning import listings
@@ -62,6 +63,61 @@ def test_stream_equals_batch_however_it_is_cut(spark, tmp_path):
         assert any(f"url='{url}'" in text and f"'s{n}'" in text for text in results[0])
 
 
+def test_own_medians_equal_batch_however_it_is_cut(spark, tmp_path):
+    """No table of medians is given: outliers of all rows are out, though early batches cannot know."""
+    dice = random.Random(2)
+    rows = [dict(url=f"u{dice.randint(0, 40)}", price=float(dice.choice([1, 2, 3, 4, 500, 9000 if n < 9 else 5])),
+                 brand=f"b{n % 3}", title=f"t{n % 5}", sizes=[f"s{n}"]) for n in range(90)] * 2
+    numbered = [listings(spark, [row]).withColumn("n", F.lit(n)) for n, row in enumerate(rows)]
+    frame = reduce(DataFrame.unionByName, numbered).repartition(4).persist()
+    kept = cleaning.outliers_removed(cleaning.clean(frame, order=["n"]))
+    want = {(r.url, r.sizes[0], r.price) for r in dedup.first_wins(kept, ["url"], ["n"]).collect()}
+    for batches in (1, 3, 12):
+        source, folder = str(tmp_path / f"in-{batches}"), str(tmp_path / f"out-{batches}")
+        records = topic.encode(frame, keep=["n"]).select(
+            "value", F.lit(0).alias("partition"), F.col("n").cast("long").alias("offset"),
+            F.timestamp_seconds("n").alias("timestamp"))
+        for batch in range(batches):
+            (records.where(F.floor(F.col("offset") * batches / len(rows)) == batch).coalesce(1)
+             .write.mode("append").parquet(source))
+        for progress in ("progress", "lost"):  # a replay from the start changes nothing
+            cleaner.start_judging_cleaner(
+                topic.log_stream(spark, source, files_per_batch=1), folder,
+                str(tmp_path / f"{progress}-{batches}"), trigger=ONCE, compact_every=5, buckets=4,
+            ).awaitTermination()
+            got = cleaner.read_judged(spark, folder).collect()
+            assert {(r.url, r.sizes[0], r.price) for r in got} == want and len(got) == len(want)
+
+
+def test_insert_reads_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    tables.append_new(listings(spark, [dict(url=f"u{n}") for n in range(200)]), path, ["price"], buckets=32)
+    stored = spark.read.parquet(path)
+    batch = listings(spark, [dict(url="u7"), dict(url="new")]).withColumn("bucket", tables.key_bucket("url", 32))
+    known = stored.where(F.col("bucket").isin(tables.touched(batch)))
+    known.select("url").collect()
+    plan = known.select("url")._jdf.queryExecution().executedPlan()
+    assert known.select("bucket").distinct().count() <= 2 < stored.select("bucket").distinct().count()
+    assert "PartitionFilters: [bucket" in plan.toString() and "ReadSchema: struct<url:string>" in plan.toString()
+    tables.append_new(batch.drop("bucket"), path, ["price"], buckets=32)
+    assert spark.read.parquet(path).count() == 201
+
+
+def test_outcome_files_do_not_grow_with_epochs(spark, tmp_path):
+    schema, state = "domain string, country string, success int, ts long", str(tmp_path / "state")
+    opened = []
+    for at in range(9):
+        rows = spark.createDataFrame([("a.com", "US", at % 2, at), (f"d{at}.com", "GB", 1, at)], schema)
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+        outcomes.start_outcome_fold(stream, state, str(tmp_path / "progress"), ONCE, compact_every=3).awaitTermination()
+        latest = outcomes.read_outcomes(spark, state)
+        opened.append(len({f.rsplit("/", 2)[1] for f in latest.inputFiles()}))
+        found = {r.domain: r for r in latest.collect()}
+        assert len(found) == at + 2 and found["a.com"].attempts == at + 1 and found["a.com"].success == at % 2
+    assert max(opened) <= 3
+
+
 def test_rejected_rows_are_not_judged_again(spark, tmp_path):
     """Without a maintained table, a repeat of an outlier stays out of a later batch."""
     def batch(rows):
