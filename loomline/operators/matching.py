@@ -9,6 +9,8 @@ from loomline.functions.listing import searchable
 from loomline.functions.text import contains_all
 from loomline.operators.dedup import topk_per
 from loomline.operators.ordinals import number_rows
+from loomline.operators.substring import Grams, create_grams, search_grams
+from loomline.staging import stage
 
 
 def available(df: DataFrame) -> DataFrame:
@@ -68,6 +70,22 @@ def matching_each(df: DataFrame, queries: list[str]) -> DataFrame:
     )
 
 
+def create_match_index(df: DataFrame, path: str, buckets: int = 256) -> Grams:
+    """What substring search needs of a catalogue: its different search texts and their grams."""
+    return create_grams(df.select(haystack().alias("text")), path, buckets=buckets)
+
+
+def matching_indexed(df: DataFrame, index: Grams, queries: DataFrame, query: str = "query") -> DataFrame:
+    """`matching_each` for a table of queries: only texts with a query's rarest gram are read."""
+    parts = F.filter(F.split(F.lower(F.replace(F.col(query), F.lit("-"), F.lit(" "))), r"\s+"),
+                     lambda part: part != "")
+    wanted = queries.select(F.col(query).alias("key"), parts.alias("parts")).where(
+        F.size("parts") > 0).distinct()
+    found = stage(search_grams(index, wanted), "matched-texts")
+    return df.withColumn("_text", haystack()).join(
+        found.select(F.col("key").alias(query), F.col("text").alias("_text")), "_text").drop("_text")
+
+
 def cheapest_matches(df: DataFrame, query: str = "", limit: int = 100) -> DataFrame:
     """Matching rows, cheapest first, then by brand; url and id settle ties."""
     order = [name for name in ("price", "brand", "url", "id") if name in df.columns]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomline import rules
-from loomline.functions.web import brand_from_domain
+from loomline.functions.web import authority_of, brand_from_domain
 from loomline.operators.dedup import first_wins
+from loomline.operators.substring import containing
+from loomline.staging import stage
 
 
 def served_countries() -> Column:
@@ -67,28 +69,30 @@ def country_currency(code: Column) -> Column:
 
 
 def contained_in(names: DataFrame, name: str, texts: DataFrame, text: str) -> DataFrame:
-    """The `names` that are a substring of at least one of the `texts`, distinct.
+    """The `names` that are a substring of at least one of the `texts`, distinct."""
+    wanted = names.select(F.col(name).alias("key"), F.array(name).alias("parts")).where(
+        F.col("key").isNotNull()).distinct()
+    return containing(wanted, texts, text).select(F.col("key").alias(name)).distinct()
 
-    No pair of name and text is compared: every text is cut into its pieces of
-    the lengths names have, and pieces meet names by equality.
-    """
-    lengths = names.select(F.sort_array(F.collect_set(F.length(name))).alias("n")).scalar()
-    cut = (
-        texts.select(F.col(text).alias("_text")).distinct()
-        .withColumn("_length", F.explode(lengths))
-        .where(F.length("_text") >= F.col("_length"))
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_length") + 1)))
-        .select(F.substring("_text", F.col("_at"), F.col("_length")).alias(name))
-    )
-    return cut.join(names.select(name), name, "left_semi").distinct()
+
+def host_suffixes(url: Column) -> Column:
+    """The host of an address and what follows each of its dots."""
+    labels = F.split(authority_of(url), r"\.")
+    return F.transform(labels, lambda _, at: F.array_join(F.slice(labels, at + 1, F.size(labels)), "."))
 
 
 def missing_brands(outcomes: DataFrame, registry: DataFrame) -> DataFrame:
-    """Registry entries for working domains that no registered address contains."""
-    working = outcomes.where(F.col("success") == 1)
-    known = contained_in(working, "domain", registry, "base_url")
+    """Registry entries for working domains that no registered address contains.
+
+    Most domains are found as a host or its ending, by equality; only what is left over is
+    looked for inside the addresses.
+    """
+    working = stage(outcomes.where(F.col("success") == 1), "working")
+    endings = registry.select(F.explode(host_suffixes(F.col("base_url"))).alias("domain"))
+    open_ones = stage(working.join(endings, "domain", "left_anti"), "open-domains")
+    inside = contained_in(open_ones, "domain", registry, "base_url")
     country = F.coalesce(F.nullif("country", F.lit("")), F.lit(rules.FALLBACK_COUNTRY))
-    return working.join(known, "domain", "left_anti").select(
+    return open_ones.join(inside, "domain", "left_anti").select(
         brand_from_domain(F.col("domain")).alias("name"),
         F.concat(F.lit("https://"), F.col("domain")).alias("base_url"),
         F.upper(country).alias("primary_country"),

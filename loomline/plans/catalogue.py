@@ -12,6 +12,7 @@ from loomline.plans.fixtures import (
     CLEAN_SQL, LISTINGS_SQL, PROBES_SQL, histories, listings, probes, table,
 )
 from loomline.sources import tables
+from loomline.staging import scratch_path, stage
 
 BRAND, COUNTRY = "Brand#7", "NATION_3"
 TOTAL_ORDER = ["price", "id", "url", "brand", "title"]
@@ -54,7 +55,10 @@ def search_price_range(spark, sf_dir):
 
 def match_substring(spark, sf_dir):
     queries = ["red ring", "dg-brand#1", "gizmo", "old old", "nothing-here"]
-    rows = matching.matching_each(cleaned(spark, sf_dir), queries)
+    catalogue = stage(cleaned(spark, sf_dir), "catalogue")
+    index = matching.create_match_index(catalogue, scratch_path(spark, "grams"), buckets=16)
+    asked = spark.range(1).select(F.explode(F.array(*[F.lit(q) for q in queries])).alias("query"))
+    rows = matching.matching_indexed(catalogue, index, asked)
     return rows.groupBy("query", "brand").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")
     )
