@@ -9,8 +9,7 @@ import zlib
 
 import numpy as np
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z][^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>"
-                   r"|[^<]+|<", re.S)
+SPECIAL = re.compile("[>\"']")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))",
                        re.I)
@@ -61,63 +60,139 @@ def attribute_tokens(tag: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class Tokens:
+    """Comments, declarations, tags and texts of a page, each character looked at a few times."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.last = {mark: text.rfind(mark) for mark in ">\"'"}
+        self.ends: dict[int, int] = {}  # a mark outside quotes -> the end of the tag, -1: none
+        self.mark = (0, -1)  # a place, and the first mark from there on
+
+    def _mark_from(self, at: int) -> int:
+        begin, mark = self.mark
+        if not begin <= at <= mark:
+            found = SPECIAL.search(self.text, at)
+            mark = found.start() if found else len(self.text)
+            self.mark = (at, mark)
+        return mark
+
+    def _tag_end(self, at: int) -> int:
+        """The end of the tag that begins before `at`; -1 if quotes or the page end first."""
+        passed, end = [], -1
+        while at <= self.last[">"]:
+            mark = self._mark_from(at)
+            if mark in self.ends:
+                end = self.ends[mark]
+                break
+            passed.append(mark)
+            quote = self.text[mark]
+            if quote == ">":
+                end = mark + 1
+                break
+            if mark == self.last[quote]:
+                break
+            at = self.text.find(quote, mark + 1) + 1
+        for mark in passed:
+            self.ends[mark] = end
+        return end
+
+    def read(self, at: int) -> tuple[int, str]:
+        """The end of the token at `at`, and whether it is a text, a tag or void."""
+        text = self.text
+
+        def until(mark: str, begin: int) -> int:
+            found = text.find(mark, begin)
+            return found if found >= 0 else len(text)
+
+        if text[at] != "<":
+            return until("<", at), "text"
+        if text.startswith("<!--", at):
+            return min(until("-->", at + 4) + 3, len(text)), "void"
+        if at > self.last[">"]:  # nothing closes any more
+            return until("<!--", at), "text"
+        if text[at + 1] in "!?":
+            return text.find(">", at) + 1, "void"
+        end = self._tag_end(at + 1) if NAME.match(text, at) else -1
+        return (end, "tag") if end > 0 else (at + 1, "text")
+
+    def after(self, tag: str, at: int) -> int:
+        """What follows the closing tag of an element whose content is not read."""
+        found = re.compile(rf"</{tag}\b", re.I).search(self.text, at)
+        end = self.text.find(">", found.end()) if found else -1
+        return end + 1 if end >= 0 else len(self.text)
+
+
+class Open:
+    """The open elements, with where those of a name lie on the stack."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names = [0], ["#page"]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max(self.places[name][-1] if self.places.get(name) else 0 for name in names)
+
+    def push(self, node: int, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.nodes))
+        if name in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def cut(self, place: int) -> None:
+        """Close all from `place` on."""
+        for name in self.names[place:]:
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+        del self.nodes[place:], self.names[place:]
+
+
 def parse(text: str | None) -> Tree:
     """One pass; unclosed and stray tags are repaired as browsers do in the common cases."""
-    tree, stack, at = Tree(), [0], 0
+    tree, stack, at = Tree(), Open(), 0
     text = text or ""
-    while (found := TOKEN.match(text, at)) is not None:
-        at, token = found.end(), found[0]
-        named = NAME.match(token) if token[0] == "<" else None
-        if token[0] != "<" or token == "<":
-            tree.pieces.append((stack[-1], html.unescape(token), False))
-            continue
-        if named is None:
+    tokens = Tokens(text)
+    while at < len(text):
+        end, kind = tokens.read(at)
+        token, at = text[at:end], end
+        if kind == "text":
+            tree.pieces.append((stack.nodes[-1], html.unescape(token), False))
+        if kind != "tag":
             continue
+        named = NAME.match(token)
         tag = named[1].lower()
         if token[1] == "/":
-            depth = len(stack) - 1
-            while depth > 0 and tree.tags[stack[depth]] != tag:
-                if tag not in BLOCK and tree.tags[stack[depth]] in BLOCK:
-                    depth = 0
-                    break
-                depth -= 1
-            if depth > 0:
-                del stack[depth:]
+            place = stack.last(tag)
+            if place and (tag in BLOCK or place > stack.blocks[-1]):
+                stack.cut(place)
                 if tag in BLOCK:
-                    tree.pieces.append((stack[-1], None, True))
+                    tree.pieces.append((stack.nodes[-1], None, True))
             continue
         if tag in BLOCK:
-            tree.pieces.append((stack[-1], None, True))
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = tree.tags[stack[depth]]
-                if open_tag == "p":
-                    del stack[depth:]
-                    break
-                if open_tag in BLOCK:
-                    break
+            tree.pieces.append((stack.nodes[-1], None, True))
+            if stack.names[stack.blocks[-1]] == "p":
+                stack.cut(stack.blocks[-1])
         if tag in CLOSES:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = tree.tags[stack[depth]]
-                if open_tag in CLOSES[tag]:
-                    del stack[depth:]
-                    break
-                if open_tag in ("ul", "ol", "dl", "table", "select"):
-                    break
+            place = stack.last(*CLOSES[tag])
+            if place > stack.last("ul", "ol", "dl", "table", "select"):
+                stack.cut(place)
         if tag == "br":
-            tree.pieces.append((stack[-1], " ", False))
+            tree.pieces.append((stack.nodes[-1], " ", False))
         if tag in VOID:
             continue
         tree.tags.append(tag)
-        tree.parents.append(stack[-1])
+        tree.parents.append(stack.nodes[-1])
         tree.tokens.append(attribute_tokens(token))
-        node = len(tree.tags) - 1
         if token.endswith("/>"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
-            at = end.end() if end else len(text)
+            at = tokens.after(tag, at)
             continue
-        stack.append(node)
+        stack.push(len(tree.tags) - 1, tag)
     return tree
 
 

@@ -201,7 +201,10 @@ def reader(folder: str, with_payload: bool):
 
 def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of selected index rows; with_payload=False checks and drops payloads."""
-    ordered = index.select("archive", "offset", "length").repartitionByRange("archive", "offset")
+    ranges = index.select("archive", "offset", "length")
+    size = ranges.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // READ_BYTES))  # by what is read, not by the size of its index
+    ordered = ranges.repartitionByRange(tasks, "archive", "offset")
     return ordered.sortWithinPartitions("archive", "offset").mapInPandas(
         reader(folder, with_payload), RECORD)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from loomline.llm import grace, middle, negatives
+from loomline.llm import dom, grace, middle, negatives
 from tests.llm.conftest import prose
 
 MIDDLE = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
@@ -192,3 +193,22 @@ def test_heaps_merge_in_any_order():
     for part in reversed(parts):
         merged.merge(part)
     assert merged.ordered() == whole.ordered() == sorted(rows, key=lambda r: (-r[0], r[1]))[:6]
+
+
+@pytest.mark.parametrize("page", [
+    "<a" * 500_000, "<!" * 500_000, "<b>" * 120_000 + "</i>" * 120_000, '<a "' * 250_000 + ">",
+    '<a "x" ' * 140_000 + '">"', "<b" * 500_000 + '"x>', "<b>" * 120_000 + "<hr>" * 120_000,
+    "<script>" + "</script " * 110_000, "<b>" * 120_000 + "<li>" * 120_000,
+    "<i><div>" + "<b>" * 120_000 + "</i>" * 120_000], ids=range(10))
+def test_parser_is_linear_on_broken_pages(page):
+    """A megabyte of what never closes; a quadratic parser needs hours for some of these."""
+    begun = time.process_time()
+    tree = dom.parse(page)
+    assert tree.tags[0] == "#page" and time.process_time() - begun < 20
+
+
+def test_broken_markup_is_text():
+    for page, want in [("a <b c", "a <b c"), ("x <a 'q>y", "x <a 'q>y"), ("1 < 2 <p>3", "1 < 2 3"),
+                       ("a<!-- b", "a"), ("a <x <!-- b", "a <x "), ("a<!--b-->c<?d>e", "ace"), ("a</i>b", "ab")]:
+        pieces = dom.parse(page).pieces
+        assert "".join(text for _, text, broken in pieces if not broken) == want, page
