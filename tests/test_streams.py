@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomline.operators import cleaning, dedup
 from loomline.sources import tables, topic
-from loomline.streaming import cleaner, outcomes
+from loomline.streaming import cleaner, live, outcomes
 from tests.test_cleaning import listings
 
 ONCE = {"availableNow": True}
@@ -172,3 +172,20 @@ def test_fresh_stream_skips_stored_urls(spark, tmp_path):
     )
     query.awaitTermination()
     assert {r.url for r in spark.table("fresh_urls").collect()} == {"u3", "u4", "u5"}
+
+
+def test_progress_of_a_live_run(spark, tmp_path):
+    """Counts per brand over three batches, replayed from the start, with a compaction between."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "live")
+    batches = [[("a", "u1"), ("a", "u2"), ("b", "u1"), (None, "u9")], [("b", "u3"), ("a", "u2")],
+               [("a", "old"), ("b", "u4"), ("b", "u4")]]
+    for rows in batches:
+        frame = listings(spark, [dict(brand=brand, url=url, title=str(n)) for n, (brand, url) in enumerate(rows)])
+        topic.encode(frame).coalesce(1).write.mode("append").text(source)
+    cached = spark.createDataFrame([("old",)], "url string")
+    for progress in ("first", "again"):
+        live.start_live_run(topic.folder_stream(spark, source, files_per_batch=1), cached, folder,
+                            str(tmp_path / progress), ONCE, compact_every=2, buckets=4).awaitTermination()
+        counts = {r.brand: (r.found, r.new) for r in live.read_progress(spark, folder).collect()}
+        assert counts == {"a": (4, 2), "b": (4, 2), None: (1, 1)}
+        assert sorted(r.url for r in live.read_live(spark, folder).collect()) == ["u1", "u2", "u3", "u4", "u9"]
