@@ -22,7 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomline.llm.tables import ascii_lower, full_text
+from loomline.llm.tables import ascii_lower, free_name, full_text
 from loomline.staging import stage
 
 WINDOW = 13
@@ -179,7 +179,8 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
     marked = contamination(docs.select("doc_id", "text"), benchmark).where("contaminated")
-    bad = stage(marked.select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
+    bad_id, bad_hash = free_name(docs, "bad_id"), free_name(docs, "bad_hash")
+    bad = stage(marked.select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash))
                 .distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(full_text()) == F.col("__bad_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64(full_text()) == F.col(bad_hash))
     return docs.join(bad, same, "left_anti")

@@ -14,16 +14,22 @@ So the documents themselves are never shuffled; a source with a third of all row
 costs its share of a scan. Limits come from word counts per source and bucket of
 ranks; only the one bucket the limit falls into is sorted.
 
-Null sources form a source of their own, last in order. Null texts have no words.
-A null doc_id draws as an empty string. Rows equal in doc_id and text are taken
-together. A source without words has target 0. Draws depend on the seed alone.
+A draw depends on the seed, the doc_id, the text and, among rows equal in source,
+doc_id and text, on the row's number, so each of them is drawn for itself. Only such
+rows are numbered, in range partitions that split a group of any size.
+
+Null sources form a source of their own, last in order. Null texts have no words and
+draw as empty ones, null doc_ids as empty strings. A source without words has target 0.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomline.llm.tables import full_text
+from loomline.llm.tables import full_text, quoted
 from loomline.operators.ordinals import number_rows
 from loomline.staging import stage
 
@@ -32,15 +38,40 @@ MOST = 3
 BUCKETS = 4096
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
+SAME = ["source", "doc_id", "_hash"]
+PLACE = ["_rank", "doc_id", "_hash", "_copy"]  # order within a source
 
 
 def words() -> Column:
     return F.regexp_count(full_text(), F.lit(WORD)).cast("long")
 
 
+def text_name() -> Column:
+    return F.md5(full_text())
+
+
+def same_row(side: str) -> Column:
+    """Equal source, doc_id and text, against columns named with `side` before them."""
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"{side}{c}")) for c in SAME])
+
+
+def numbered(rows: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Add `_copy`: the number, from 0, among rows equal in source, doc_id and text.
+
+    `repeats` names the groups of two rows and more.
+    """
+    groups = repeats.select(*[F.col(c).alias(f"_of{c}") for c in SAME])
+    alone = rows.join(groups, same_row("_of"), "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    again = rows.join(groups, same_row("_of"), "left_semi").withColumn(
+        "_row", F.monotonically_increasing_id())
+    counted = number_rows(again, [F.col("_row")], by=SAME, column="_copy", start=0)
+    return alone.unionByName(counted.drop("_row"))
+
+
 def draw(seed: str) -> Column:
-    """A number in (0, 1) for a document, the same in every run."""
-    label = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """A number in (0, 1) for a row, the same in every run."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    label = F.concat_ws(":", F.lit(seed), name, F.col("_hash"), F.col("_copy").cast("string"))
     digits = F.conv(F.substring(F.md5(label), 1, 13), 16, 10).cast("long")
     return (digits + F.lit(0.5)) / F.lit(float(1 << 52))
 
@@ -98,16 +129,20 @@ def ranked(docs: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
 
 
 def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
-                seed: str = SEED) -> DataFrame:
-    """Per source: size, target, the last rank taken, and the document that fills the gap."""
+                seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """Per source: size, target, the last rank taken, and the row that fills the gap; and
+    the groups of rows equal in source, doc_id and text."""
     narrow = stage(
-        docs.select("doc_id", "source", words().alias("size"),
-                    F.xxhash64(full_text()).alias("_hash")),
+        docs.select("doc_id", "source", words().alias("size"), text_name().alias("_hash")),
         "mix-narrow",
     )
+    repeats = stage(
+        narrow.groupBy(*SAME).count().where(F.col("count") > 1).select(*SAME), "mix-repeats"
+    )
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stage(source_targets(sizes, weights, most), "mix-targets")
-    rows = ranked(narrow, targets, seed).where("_rank IS NOT NULL")
+    rows = ranked(stage(numbered(narrow, repeats), "mix-numbered"), targets, seed).where(
+        "_rank IS NOT NULL")
     same = lambda side: F.col("source").eqNullSafe(F.col(side))
 
     histogram = rows.groupBy("source", "_bucket").agg(
@@ -123,14 +158,13 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
                 F.col("_at._before").alias("_before"), F.col("_at._missing").alias("_need")),
         "mix-limits",
     )
-    place = F.struct("_rank", "doc_id", "_hash")
     edge = rows.join(limits, same("_s") & (F.col("_bucket") == F.col("_cut")))
-    within = Window.partitionBy("source").orderBy("_rank", "doc_id", "_hash")
+    within = Window.partitionBy("source").orderBy(*PLACE)
     taken = (
         edge.withColumn("_run", F.sum("size").over(within) + F.col("_before"))
         .where(F.col("_run") <= F.col("_need"))
         .groupBy(F.col("source").alias("_t"))
-        .agg(F.max(place).alias("_last"), F.max("_run").alias("_reached"))
+        .agg(F.max(F.struct(*PLACE)).alias("_last"), F.max("_run").alias("_reached"))
     )
     cuts = stage(
         limits.join(taken, F.col("_s").eqNullSafe(F.col("_t")), "left").select(
@@ -143,35 +177,30 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     off = F.abs(F.col("size") - F.col("_gap"))
     fill = (
         over.where(off < F.col("_gap")).groupBy("source")
-        .agg(F.min(F.struct(off.alias("_off"), "_rank", "doc_id", "_hash")).alias("_best"))
-        .select(F.col("source").alias("_f"), F.col("_best.doc_id").alias("_fill_id"),
-                F.col("_best._hash").alias("_fill_hash"))
+        .agg(F.min(F.struct(off.alias("_off"), *PLACE)).alias("_best"))
+        .select(F.col("source").alias("_f"),
+                F.struct(*[F.col(f"_best.{c}").alias(c) for c in PLACE]).alias("_fill"))
     )
     plan = targets.join(cuts, same("_s"), "left").join(fill, same("_f"), "left")
-    return stage(
-        plan.select("source", "source_size", "target", "_cut", "_last", "_fill_id", "_fill_hash"),
-        "mix-plan",
-    )
+    plan = plan.select("source", "source_size", "target", "_cut", "_last", "_fill")
+    return stage(plan, "mix-plan"), repeats
 
 
 def chosen() -> Column:
     """Before the limit: in an earlier bucket, or up to the last rank in the limit's own."""
-    place = F.struct("_rank", "doc_id", "_hash")
     inside = (F.col("_bucket") == F.col("_cut")) & F.col("_last").isNotNull()
     before = F.col("_bucket") < F.col("_cut")
-    return F.coalesce(before | (inside & (place <= F.col("_last"))), F.lit(False))
+    return F.coalesce(before | (inside & (F.struct(*PLACE) <= F.col("_last"))), F.lit(False))
 
 
-def mixed(docs: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, plan: DataFrame, repeats: DataFrame, seed: str = SEED) -> DataFrame:
     """The documents with size, source_size, target and copies."""
     own = docs.columns
-    sized = docs.withColumns({"size": words(), "_hash": F.xxhash64(full_text())})
+    sized = numbered(docs.withColumn("_hash", text_name()), repeats).withColumn("size", words())
     rows = ranked(sized, plan.select("source", "source_size", "target"), seed)
-    limits = plan.select(F.col("source").alias("_s"), "_cut", "_last", "_fill_id", "_fill_hash")
+    limits = plan.select(F.col("source").alias("_s"), "_cut", "_last", "_fill")
     joined = rows.join(limits, F.col("source").eqNullSafe(F.col("_s")))
-    fills = F.col("_fill_hash").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_fill_id")) & (
-        F.col("_hash") == F.col("_fill_hash")
-    )
+    fills = F.coalesce(F.struct(*PLACE) == F.col("_fill"), F.lit(False))
     # A source whose whole sample is needed has no limit: every fraction is taken.
     all_taken = F.col("_rank").isNotNull() & F.col("_cut").isNull()
     extra = (chosen() | fills | all_taken).cast("int")
@@ -183,7 +212,7 @@ def mixed(docs: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mix_report(docs: DataFrame) -> DataFrame:
     narrow = docs.select("doc_id", "source", "text")
-    return mixed(narrow, mixing_plan(narrow)).select(
+    return mixed(narrow, *mixing_plan(narrow)).select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"),
     )
@@ -191,11 +220,9 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mix_corpus(docs: DataFrame) -> DataFrame:
     """The mixed corpus itself: a row per copy taken, with the columns of `docs`."""
-    plan = mixing_plan(docs.select("doc_id", "source", "text"))
-    renamed = docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns
-                                       if c not in ("doc_id", "source", "text")})
-    rows = mixed(renamed, plan).where("copies > 0")
-    copied = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return copied.select(*[
-        F.col(c if c in renamed.columns else f"_in_{c}").alias(c) for c in docs.columns
-    ])
+    inner = {c: c if c in ("doc_id", "source", "text") else f"_in_{at}"
+             for at, c in enumerate(docs.columns)}
+    renamed = docs.select(*[quoted(c).alias(name) for c, name in inner.items()])
+    rows = mixed(renamed, *mixing_plan(docs.select("doc_id", "source", "text"))).where("copies > 0")
+    copied = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_turn"))
+    return copied.select(*[F.col(name).alias(c) for c, name in inner.items()])

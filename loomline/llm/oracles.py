@@ -53,7 +53,9 @@ FROM p JOIN g USING (h)
 MIXTURE = r"""
 WITH d AS (
   SELECT doc_id, source,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(text, '')) AS name,
+    row_number() OVER (PARTITION BY source, doc_id, coalesce(text, '')) - 1 AS copy
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -75,9 +77,9 @@ t AS (
   SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), w * (SELECT v FROM share)) AS target
   FROM o),
 e AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.source, d.size, d.name, d.copy, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN target / t.source_size ELSE 0e0 END AS ratio,
-    (CAST('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5e0)
+    (CAST('0x' || substr(md5(concat('mix-1:', doc_id, ':', d.name, ':', d.copy)), 1, 13) AS BIGINT) + 0.5e0)
       / 4503599627370496e0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 f AS (
@@ -87,7 +89,7 @@ g AS (
   SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM f),
 h AS (
   SELECT *, rank IS NOT NULL
-    AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id) <= missing AS chosen
+    AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, name, copy) <= missing AS chosen
   FROM g),
 gap AS (
   SELECT *, missing - coalesce(sum(CASE WHEN chosen THEN size END) OVER (PARTITION BY source), 0)
@@ -95,7 +97,7 @@ gap AS (
 fill AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY
       CASE WHEN NOT chosen AND rank IS NOT NULL AND abs(size - gap) < gap THEN 0 ELSE 1 END,
-      abs(size - gap), rank, doc_id) = 1
+      abs(size - gap), rank, doc_id, name, copy) = 1
     AND NOT chosen AND rank IS NOT NULL AND abs(size - gap) < gap AS filled
   FROM gap)
 SELECT doc_id, size, source_size, target,

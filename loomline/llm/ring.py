@@ -99,6 +99,7 @@ def assign(docs: DataFrame, shards: int = 8, virtual_nodes: int = VIRTUAL_NODES)
             F.crc32(text.cast("binary")).alias("text_crc32"),
             point.alias("point"),
             F.element_at(literal_array(arcs, "int"), place_of(point) + 1).alias("arc"),
+            F.monotonically_increasing_id().alias("row"),  # splits rows equal in text and doc_id
         ),
         "ring-keys",
     )
@@ -109,7 +110,7 @@ def assign(docs: DataFrame, shards: int = 8, virtual_nodes: int = VIRTUAL_NODES)
     )
     seat = F.col("seat")
     seated = number_rows(
-        keyed, [F.col("point"), F.col("doc_id")], by=["arc"], column="seat", start=0
+        keyed, [F.col("point"), F.col("doc_id"), F.col("row")], by=["arc"], column="seat", start=0
     )
     # At most virtual nodes x shards pieces x shards rows: the bound of this broadcast.
     placed = seated.join(F.broadcast(parts), "arc").where(

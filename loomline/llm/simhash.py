@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomline.llm.components import components
+from loomline.llm.tables import quoted
 from loomline.staging import stage
 
 BUDGET = 3
@@ -217,17 +218,21 @@ def duplicate_report(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents less near copies: of each component one row stays.
 
-    It is that of least doc_id, null last, then of least text hash; of rows that share
-    both one stays. So a row with a null doc_id stays only where its whole component has
-    none, and every component keeps a row, whatever ids it shares with others.
+    It is that of least doc_id, null last, then of least text hash, then of least hash
+    over all columns but maps. So a row with a null doc_id stays only where its whole
+    component has none, and every component keeps a row, whatever ids it shares with others.
     """
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"),
                            F.col("text_hash").alias("hash")))
     kept = stage(rooted_rows(docs).groupBy("root").agg(least.alias("least"))
-                 .select(F.col("least.id").alias("__kept_id"),
-                         F.col("least.hash").alias("__kept_hash")), "kept")
-    hashed = docs.withColumn("__text_hash", text_hash())
-    same = (F.col("doc_id").eqNullSafe(F.col("__kept_id"))
-            & (F.col("__text_hash") == F.col("__kept_hash")))
-    survivors = hashed.join(kept, same, "left_semi")
-    return survivors.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
+                 .select(F.col("least.id").alias("kept_id"),
+                         F.col("least.hash").alias("kept_hash")), "kept")
+    comparable = [quoted(c) for c, kind in docs.dtypes if "map<" not in kind]
+    packed = docs.select("doc_id", text_hash().alias("text_hash"),
+                         F.xxhash64(*comparable).alias("order"),
+                         F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
+    same = (F.col("doc_id").eqNullSafe(F.col("kept_id"))
+            & (F.col("text_hash") == F.col("kept_hash")))
+    survivors = packed.join(kept, same, "left_semi")
+    return (survivors.groupBy("doc_id", "text_hash")
+            .agg(F.min_by("row", "order").alias("row")).select("row.*"))

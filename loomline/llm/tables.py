@@ -31,6 +31,11 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def full_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

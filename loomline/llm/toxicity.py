@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomline.llm.labelled import held_out, training_texts
+from loomline.llm.tables import free_name, quoted
 from loomline.staging import stage
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -346,22 +347,25 @@ def scorer(model: Model):
     return score
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """All columns of `docs` with a struct `__toxic_result`: score, tokens, passages."""
+def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic",
+           result: str = "toxic_result") -> DataFrame:
+    """All columns of `docs` with a struct `result`: score, tokens, passages."""
     model = fit(docs, labels, label)
-    return docs.withColumn("__toxic_result", scorer(model)(F.col("text")))
+    return docs.withColumn(result, scorer(model)(F.col("text")))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = scored(docs.select("doc_id", "text"), labels)
     return rows.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__toxic_result.score").alias("score"),
-        (F.col("__toxic_result.score") >= 0.5).cast("int").alias("predicted"),
-        F.size("__toxic_result.passages").alias("n_passages"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_result.score").alias("score"),
+        (F.col("toxic_result.score") >= 0.5).cast("int").alias("predicted"),
+        F.size("toxic_result.passages").alias("n_passages"),
     )
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    own = [F.col(name) for name in docs.columns]
-    return scored(docs, labels).where(F.col("__toxic_result.score") < threshold).select(*own)
+    own = [quoted(name) for name in docs.columns]
+    result = free_name(docs, "toxic_result")
+    rows = scored(docs, labels, result=result)
+    return rows.where(F.col(f"{result}.score") < threshold).select(*own)
