@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomline import rules
 from loomline.functions.web import domain_features
@@ -31,6 +31,30 @@ def latest_outcomes(log: DataFrame) -> DataFrame:
     return with_features(folded)
 
 
+def remember(latest: DataFrame, tried: DataFrame, when: Column) -> DataFrame:
+    """The state per domain after the attempts `tried` (domain, country, success), made at `when`.
+
+    The country of a known domain stays. Of attempts for several countries the last by code
+    counts as the latest, the first by code as the first.
+    """
+    known = latest.select("domain", "country", "success", "attempts", "last_checked",
+                          F.lit(0).alias("_age"))
+    checked = when.cast(latest.schema["last_checked"].dataType)
+    new = tried.select("domain", "country", "success", F.lit(1).cast("long").alias("attempts"),
+                       checked.alias("last_checked"), F.lit(1).alias("_age"))
+    order = F.struct("_age", "country")
+    folded = known.unionByName(new).groupBy("domain").agg(
+        F.min_by("country", order).alias("country"), F.max_by("success", order).alias("success"),
+        F.sum("attempts").alias("attempts"), F.max_by("last_checked", "_age").alias("last_checked"),
+    )
+    return with_features(folded)
+
+
+def held_out(domain: Column, parts: int = 5) -> Column:
+    """One domain in `parts`, by digest: kept from learning, to judge by."""
+    return F.conv(F.substring(F.md5(domain), 1, 8), 16, 10).cast("long") % parts == 0
+
+
 def labelled(latest: DataFrame) -> DataFrame:
     return latest.where(F.col("success").isNotNull())
 

@@ -95,6 +95,20 @@ def page_of_results(spark, sf_dir):
     return shown.select(*TOTAL_ORDER)
 
 
+def page_boundaries(spark, sf_dir):
+    """Where every page of the whole clean catalogue begins."""
+    rows = cleaned(spark, sf_dir).select(*TOTAL_ORDER)
+    return ordinals.page_boundaries(rows, TOTAL_ORDER)
+
+
+def deep_page(spark, sf_dir):
+    """The page in the middle of the whole clean catalogue."""
+    rows = stage(cleaned(spark, sf_dir).select(*TOTAL_ORDER)
+                 .repartitionByRange("price").sortWithinPartitions("price"), "by-price")
+    boundaries = stage(ordinals.page_boundaries(rows, TOTAL_ORDER), "boundaries")
+    return ordinals.seek_page(rows, TOTAL_ORDER, boundaries, boundaries.count() // 2 + 1)
+
+
 def page_count(spark, sf_dir):
     return ordinals.page_count(matching.matching(cleaned(spark, sf_dir), "hot"))
 
@@ -164,7 +178,7 @@ QUERIES = {
     f.__name__: f for f in (
         catalogue_stats, brand_counts, brands_found, facet_counts, facet_filter, gender_split,
         country_match, search_price_range, match_substring, search_with_total, result_summary,
-        cheapest_matches, price_sort, page_of_results, page_count, result_ordinal,
+        cheapest_matches, price_sort, page_of_results, page_boundaries, deep_page, page_count, result_ordinal,
         group_by_brand, product_view, user_history, search_log_count, probe_summary, run_summary,
     )
 }
@@ -233,6 +247,15 @@ ORACLE = {
         SELECT rank, id, price FROM F ORDER BY price DESC, rank LIMIT 100""",
     "page_of_results": f"""WITH {CLEAN_SQL} SELECT {TOTAL_ORDER_SQL} FROM C
         WHERE {contains_sql("hot")} ORDER BY {TOTAL_ORDER_SQL} LIMIT 48 OFFSET 96""",
+    "page_boundaries": f"""WITH {CLEAN_SQL}, N AS (SELECT {TOTAL_ORDER_SQL},
+          ROW_NUMBER() OVER (ORDER BY {TOTAL_ORDER_SQL}) - 1 AS spot FROM C)
+        SELECT spot // 48 + 1 AS page, {TOTAL_ORDER_SQL},
+          spot - min(spot) OVER (PARTITION BY {TOTAL_ORDER_SQL}) AS skip FROM N
+        QUALIFY spot % 48 = 0""",
+    "deep_page": f"""WITH {CLEAN_SQL}, N AS (SELECT {TOTAL_ORDER_SQL},
+          (ROW_NUMBER() OVER (ORDER BY {TOTAL_ORDER_SQL}) - 1) // 48 AS page,
+          (count(*) OVER () + 47) // 48 AS pages FROM C)
+        SELECT {TOTAL_ORDER_SQL} FROM N WHERE page = pages // 2""",
     "page_count": f"""WITH {CLEAN_SQL} SELECT count(*) AS items,
         greatest(CAST(ceil(count(*) / 48e0) AS BIGINT), 1) AS pages FROM C WHERE {contains_sql("hot")}""",
     "result_ordinal": f"""WITH {CLEAN_SQL}, N AS (SELECT {TOTAL_ORDER_SQL},

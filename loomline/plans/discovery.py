@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomline import rules
 from loomline.functions import web
-from loomline.operators import candidates, dedup, outcomes, registry as brands
+from loomline.operators import candidates, dedup, outcomes, registry as brands, rounds
 from loomline.plans.enrich import DOMAIN_SQL, title_sql
 from loomline.plans.fixtures import (
     AUTHORITY_SQL, OUTCOMES_SQL, REGISTRY_SQL, SCHEME_SQL, histories, nations, outcome_log,
@@ -16,6 +16,7 @@ from loomline.staging import stage
 
 COUNTRY = "NATION_12"
 PER_COUNTRY = 5
+ROUNDS = 3
 
 
 def flat(rows):
@@ -150,13 +151,25 @@ def discovery_plan(spark, sf_dir):
     return candidates.discovery_plan(cycles)
 
 
+def split(spark, sf_dir):
+    """Outcomes, told apart by digest into those to learn from and those to judge by."""
+    rows = outcomes.labelled(latest(spark, sf_dir))
+    return stage(rows.withColumn("held_out", outcomes.held_out(F.col("domain"))), "split")
+
+
+def outcome_split(spark, sf_dir):
+    """Sizes and feature sums of both parts."""
+    sums = [F.sum(name).alias(name) for name in ("success", *rules.FEATURES)]
+    return split(spark, sf_dir).groupBy("held_out").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
 def train_outcome(spark, sf_dir):
-    """Confusion counts of the model on the outcomes it learned from."""
-    rows = stage(latest(spark, sf_dir), "latest")
-    model = outcomes.train_outcome_model(rows)
-    scored = outcomes.score_domains(model, outcomes.labelled(rows))
-    return scored.groupBy("success", (F.col("probability") >= 0.5).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n"))
+    """Confusion counts of a model of one part of the outcomes, on both."""
+    rows = split(spark, sf_dir)
+    model = outcomes.train_outcome_model(rows.where("NOT held_out"))
+    scored = outcomes.score_domains(model, rows)
+    predicted = (F.col("probability") >= 0.5).alias("predicted")
+    return scored.groupBy("held_out", "success", predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
 def score_candidates(spark, sf_dir):
@@ -167,12 +180,53 @@ def score_candidates(spark, sf_dir):
         "country", "domain", "probability", "turn")
 
 
+def discovered(spark, sf_dir, learn):
+    """Pages dealt to a history and three rounds: what each round's searches find, and how it goes.
+
+    A page is the answer of its site to an attempt of that round.
+    """
+    pages = table(spark, sf_dir, "pages")
+    dealt = F.pmod("page_id", F.lit(ROUNDS + 1))
+    log = outcome_log(spark, sf_dir).where(F.pmod("ts", F.lit(ROUNDS + 1)) == 0)
+    known = rounds.Discovery(
+        None, stage(outcomes.latest_outcomes(log), "latest"),
+        stage(registry(spark, sf_dir), "registry"))
+    urls = pages.select(
+        dealt.alias("dealt"), F.col("page_id").alias("position"), "url",
+        F.upper(F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)", 1)).alias("country"))
+    found = [candidates.domains_from_urls(urls.where(F.col("dealt") == at), ["position"],
+                                          within=["country"])
+             .select("country", "domain", "base_url", "position") for at in range(1, ROUNDS + 1)]
+    answers = pages.select(F.col("page_id").alias("position"), F.length("html").alias("chars"))
+
+    def attempt(planned):
+        seen = planned.join(answers, "position", "left")
+        platform = F.when(F.col("chars") % 2 == 0, "shopify").otherwise("html")
+        return seen.withColumns({"success": (F.col("chars") > 4000).cast("int"), "platform": platform})
+
+    return rounds.discover_and_learn(known, found, attempt, PER_COUNTRY, learn)
+
+
+def discovery_rounds(spark, sf_dir):
+    """All attempts of three rounds that learn only whom to skip and what is registered."""
+    done = discovered(spark, sf_dir, learn=False)
+    return done.attempts.drop("probability").join(
+        done.latest.select("domain", F.col("attempts").alias("attempts_so_far"),
+                           F.col("success").alias("last_success")), "domain")
+
+
+def discovery_rounds_learned(spark, sf_dir):
+    """The same with a model trained anew before every round."""
+    return discovered(spark, sf_dir, learn=True).attempts
+
+
 QUERIES = {
     f.__name__: f for f in (
         brands_for_country, brand_names, brand_country_expand, brands_per_country, register_new,
         outcome_latest, outcome_status, recent_outcomes, labelled_rows, training_gate,
         missing_brands, discover_domains, skip_blocked, candidate_budget, fallback_union,
-        discovery_plan, train_outcome, score_candidates,
+        discovery_plan, outcome_split, train_outcome, score_candidates, discovery_rounds,
+        discovery_rounds_learned,
     )
 }
 
@@ -202,7 +256,49 @@ JUDGED_SQL = """J AS (SELECT concat(source, '.', lang, '.d', CAST(d.doc_id AS VA
 WHEEL = ", ".join(f"'{query}'" for query in rules.DISCOVERY_QUERIES)
 COUNTRY_VALUES = ", ".join(f"('{code}', '{name}')" for code, name, _ in rules.COUNTRIES)
 
+
+
+def round_sql(at):
+    """One round: found, tried, newly registered, and the state after it."""
+    return f"""F{at} AS (
+  SELECT * FROM A WHERE dealt = {at}
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY country, domain ORDER BY position) = 1),
+P{at} AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY country ORDER BY position, domain) AS turn FROM F{at}
+  WHERE domain NOT IN (SELECT domain FROM S{at - 1} WHERE success = 0) QUALIFY turn <= {PER_COUNTRY}),
+G{at} AS (SELECT base_url, min(country) AS country FROM P{at} WHERE success = 1
+    AND base_url NOT IN (SELECT base_url FROM K{at - 1}) GROUP BY base_url),
+K{at} AS (SELECT base_url FROM K{at - 1} UNION ALL SELECT base_url FROM G{at}),
+S{at} AS (
+  SELECT domain, last(success ORDER BY age, country) AS success, sum(attempts) AS attempts
+  FROM (SELECT domain, '' AS country, success, attempts, 0 AS age FROM S{at - 1}
+    UNION ALL SELECT domain, country, success, 1, 1 FROM P{at}) GROUP BY domain),
+T{at} AS (SELECT {at} AS round, P.*, G.country IS NOT NULL AND P.success = 1 AS new_brand
+  FROM P{at} P LEFT JOIN G{at} G ON P.base_url = G.base_url AND P.country = G.country)"""
+
+
+ROUNDS_SQL = f"""A AS (
+  SELECT page_id % {ROUNDS + 1} AS dealt, page_id AS position, {DOMAIN_SQL} AS domain,
+    upper(regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)', 1)) AS country,
+    concat({SCHEME_SQL}, '://', {AUTHORITY_SQL}) AS base_url,
+    CAST(length(html) > 4000 AS INTEGER) AS success,
+    CASE WHEN length(html) % 2 = 0 THEN 'shopify' ELSE 'html' END AS platform
+  FROM pages WHERE contains({DOMAIN_SQL}, '.') AND NOT regexp_matches({DOMAIN_SQL}, '{GENERIC}')),
+S0 AS (SELECT domain, arg_min(success, ts) AS success, count(*) AS attempts FROM O
+  WHERE ts % {ROUNDS + 1} = 0 GROUP BY domain),
+K0 AS (SELECT base_url FROM R),
+{", ".join(round_sql(at) for at in range(1, ROUNDS + 1))},
+T AS ({" UNION ALL ".join(f"SELECT * FROM T{at}" for at in range(1, ROUNDS + 1))})"""
+
 ORACLE = {
+    "outcome_split": f"""WITH {OUTCOMES_SQL}, X AS (SELECT success, {FEATURES_SQL},
+          CAST('0x' || substr(md5(domain), 1, 8) AS BIGINT) % 5 = 0 AS held_out FROM LO)
+        SELECT held_out, count(*) AS n, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}"
+                                                   for c in ("success", *rules.FEATURES))}
+        FROM X GROUP BY held_out""",
+    "discovery_rounds": f"""WITH {REGISTRY_SQL}, {OUTCOMES_SQL}, {ROUNDS_SQL}
+        SELECT round, country, T.domain, base_url, turn, T.success, platform, new_brand,
+          CAST(S{ROUNDS}.attempts AS BIGINT) AS attempts_so_far, S{ROUNDS}.success AS last_success
+        FROM T JOIN S{ROUNDS} ON T.domain = S{ROUNDS}.domain""",
     "brands_for_country": f"""WITH {REGISTRY_SQL} SELECT name, base_url, primary_country FROM R
         WHERE name IN (SELECT name FROM S WHERE country = '{COUNTRY}')""",
     "brand_names": f"WITH {REGISTRY_SQL} SELECT name FROM S WHERE country = '{COUNTRY}'",
