@@ -17,6 +17,7 @@ from loomline.staging import stage
 COUNTRY = "NATION_12"
 PER_COUNTRY = 5
 ROUNDS = 3
+ANSWER_CHARS = 2000
 
 
 def flat(rows):
@@ -183,11 +184,13 @@ def score_candidates(spark, sf_dir):
 def discovered(spark, sf_dir, learn):
     """Pages dealt to a history and three rounds: what each round's searches find, and how it goes.
 
-    A page is the answer of its site to an attempt of that round.
+    A page is the answer of its site to an attempt of that round; a long one is a success.
     """
     pages = table(spark, sf_dir, "pages")
     dealt = F.pmod("page_id", F.lit(ROUNDS + 1))
-    log = outcome_log(spark, sf_dir).where(F.pmod("ts", F.lit(ROUNDS + 1)) == 0)
+    works = (F.length("html") > ANSWER_CHARS).cast("int")
+    log = outcome_log(spark, sf_dir).drop("success").join(
+        pages.where(dealt == 0).select(F.col("page_id").alias("ts"), works.alias("success")), "ts")
     known = rounds.Discovery(
         None, stage(outcomes.latest_outcomes(log), "latest"),
         stage(registry(spark, sf_dir), "registry"))
@@ -202,7 +205,7 @@ def discovered(spark, sf_dir, learn):
     def attempt(planned):
         seen = planned.join(answers, "position", "left")
         platform = F.when(F.col("chars") % 2 == 0, "shopify").otherwise("html")
-        return seen.withColumns({"success": (F.col("chars") > 4000).cast("int"), "platform": platform})
+        return seen.withColumns({"success": (F.col("chars") > ANSWER_CHARS).cast("int"), "platform": platform})
 
     return rounds.discover_and_learn(known, found, attempt, PER_COUNTRY, learn)
 
@@ -280,11 +283,11 @@ ROUNDS_SQL = f"""A AS (
   SELECT page_id % {ROUNDS + 1} AS dealt, page_id AS position, {DOMAIN_SQL} AS domain,
     upper(regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)', 1)) AS country,
     concat({SCHEME_SQL}, '://', {AUTHORITY_SQL}) AS base_url,
-    CAST(length(html) > 4000 AS INTEGER) AS success,
+    CAST(length(html) > {ANSWER_CHARS} AS INTEGER) AS success,
     CASE WHEN length(html) % 2 = 0 THEN 'shopify' ELSE 'html' END AS platform
   FROM pages WHERE contains({DOMAIN_SQL}, '.') AND NOT regexp_matches({DOMAIN_SQL}, '{GENERIC}')),
-S0 AS (SELECT domain, arg_min(success, ts) AS success, count(*) AS attempts FROM O
-  WHERE ts % {ROUNDS + 1} = 0 GROUP BY domain),
+S0 AS (SELECT domain, arg_max(success, position) AS success, count(*) AS attempts FROM A
+  WHERE dealt = 0 GROUP BY domain),
 K0 AS (SELECT base_url FROM R),
 {", ".join(round_sql(at) for at in range(1, ROUNDS + 1))},
 T AS ({" UNION ALL ".join(f"SELECT * FROM T{at}" for at in range(1, ROUNDS + 1))})"""
