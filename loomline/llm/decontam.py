@@ -1,16 +1,22 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame operations only.
 
 Each benchmark item is cut into windows of `WINDOW` words (a shorter item is one
-window). A window is a set of word shingles with offsets; a document contains it only
-if it contains all of them, so by the prefix filter one shingle is enough to find
-candidates: its rarest, by counts over the whole corpus. A candidate must begin
-inside the document and fit into it (length and positional bounds). It is verified
-exactly: every shingle of the window must stand at its offset from the start.
-
-One scan of the texts joins their shingles, word by word, to the shingles of the
-benchmark; what matches is small and is all that the later steps read. Documents are
-never shuffled with their texts. Benchmark shingles are broadcast up to
-`BROADCAST_ROWS` rows; beyond that the same join is shuffled.
+window), and each window into shingles of `SHINGLE` words (a shorter window is one
+shingle). A document contains a window only if it contains all its shingles, so by the
+prefix filter the first in a global order of rarity is enough to find candidates. Two
+scans of the texts do the work:
+
+1. `frequencies` counts how often each benchmark shingle stands in the corpus.
+2. `occurrences` joins every position of a text to the one rarest shingle of each
+   window. A candidate must begin inside the document and fit into it (length and
+   positional bounds) and is verified exactly, word by word, against the words around.
+
+Windows with a shingle that stands nowhere are never joined. Shingles are joined by
+their hash; what the hash lets through falls to the verification, and a wrong count
+would only change the order. The same scan brings each document's number of words: the
+empty window stands once at the end of every text. Texts never leave the task that
+reads them while the tables of shingles are small enough for Catalyst to broadcast by
+their size in bytes; beyond that positions are shuffled with at most 21 words each.
 
 Null texts have no words. A null item_id is the empty string in the list of ids. Rows
 equal in doc_id and text get equal results. An empty benchmark contaminates nothing.
@@ -18,9 +24,7 @@ equal in doc_id and text get equal results. An empty benchmark contaminates noth
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomline.llm.tables import ascii_lower, free_name, full_text
 from loomline.staging import stage
@@ -28,9 +32,9 @@ from loomline.staging import stage
 WINDOW = 13
 SHINGLE = 5
 SHARE = 20
-BROADCAST_ROWS = 500_000
+BEFORE = WINDOW - SHINGLE  # words of a window that can precede its rarest shingle
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+KEY = ["doc_id", "text_hash"]
 
 
 def words_of(text: Column) -> Column:
@@ -51,120 +55,113 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def shingles(words: Column, width: int) -> Column:
-    """Structs w0..w4 of `width` consecutive words; words beyond the width are empty."""
-    count = F.greatest(F.size(words) - (width - 1), F.lit(0))
-    parts = [F.slice(words, at + 1, count).alias(f"w{at}") for at in range(width)]
-    return F.arrays_zip(*parts)
-
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """Rows (window, size, offset, shingle): the hashes of all shingles of each window."""
+    width = F.least(F.lit(SHINGLE), F.col("size"))
+    placed = windows.select(
+        "window", "size", width.alias("width"),
+        F.explode(F.sequence(F.lit(0), F.col("size") - width)).alias("offset"))
+    return placed.select("window", "size", "width", "offset", F.xxhash64(
+        F.slice("window", F.col("offset") + 1, F.col("width"))).alias("shingle"))
 
-def named_words(width: int) -> list[Column]:
-    return [F.col(f"col.w{at}") if at < width else F.lit("").alias(f"w{at}")
-            for at in range(SHINGLE)]
 
+def positions(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """Rows (doc_id, text_hash, n_words, pos, before, around, shingle), one or more for every
+    position of a text and one for its end, where the shingle is empty.
 
-def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every place where a window occurs: doc_id, text_hash, start (from 0), size, window."""
-    windows = stage(item_windows(benchmark).select("window", "size").distinct(), "windows")
-    widths = [row["width"] for row in windows.select(
-        F.least(F.lit(SHINGLE), "size").alias("width")).distinct().collect()]  # at most SHINGLE
-    names = [f"w{at}" for at in range(SHINGLE)]
-    parts = []
-    for width in sorted(widths):
-        of_width = windows.where(F.least(F.lit(SHINGLE), F.col("size")) == width)
-        parts.append(of_width.select(
-            "window", "size", F.posexplode(shingles(F.col("window"), width))
-        ).select("window", "size", F.lit(width).alias("width"), F.col("pos").alias("offset"),
-                 *[column.alias(name) for column, name in zip(named_words(width), names)]))
-    if not parts:
-        empty = "doc_id string, text_hash long, start int, size int, window array<string>"
-        return docs.sparkSession.createDataFrame([], empty)
-    placed = stage(reduce(DataFrame.union, parts), "window-shingles")
-    known = stage(
-        placed.select("width", *names).distinct()
-        .withColumn("shingle", F.monotonically_increasing_id()), "shingles",
-    )
-    if known.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
+    `around` are the words that a window with this shingle can cover, `before` those of
+    them that come before it.
+    """
     texts = docs.select("doc_id", F.xxhash64(full_text()).alias("text_hash"),
                         words_of(full_text()).alias("words"))
-    found = []
-    for width in sorted(widths):
-        cut = texts.select("doc_id", "text_hash", F.size("words").alias("n_words"),
-                           F.posexplode(shingles(F.col("words"), width)))
-        named = cut.select("doc_id", "text_hash", "n_words", "pos",
-                           *[c.alias(n) for c, n in zip(named_words(width), names)])
-        of_width = known.where(F.col("width") == width)
-        found.append(named.join(of_width, names[:width]).select(
-            "doc_id", "text_hash", "n_words", "pos", "shingle"))
-    matches = stage(reduce(DataFrame.union, found).distinct(), "shingle-matches")
-
-    frequency = matches.groupBy("shingle").agg(F.count(F.lit(1)).alias("frequency"))
-    ranked = stage(
-        placed.join(known, ["width", *names]).join(frequency, "shingle", "left")
-        .select("window", "size", "width", "offset", "shingle",
-                F.coalesce("frequency", F.lit(0)).alias("frequency")),
-        "ranked-shingles",
-    )
-    prefix = ranked.groupBy("window", "size", "width").agg(
-        F.min(F.struct("frequency", "offset", "shingle")).alias("rarest")
-    ).where("rarest.frequency > 0")
-    start = F.col("pos") - F.col("rarest.offset")
-    candidates = (
-        matches.join(prefix, F.col("shingle") == F.col("rarest.shingle"))
-        .withColumn("start", start)
-        .where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words")))
-        .select("doc_id", "text_hash", "window", "size", "width", "start")
+    placed = texts.select(*KEY, "words", F.size("words").alias("n_words"),
+                          F.explode(F.sequence(F.lit(0), F.size("words"))).alias("pos"))
+    before = F.least(F.col("pos"), F.lit(BEFORE))
+    hashes = [F.xxhash64(F.slice("words", F.col("pos") + 1, width)) for width in widths]
+    shingle = hashes[0] if len(hashes) == 1 else F.explode(F.array_distinct(F.array(*hashes)))
+    return placed.select(
+        *KEY, "n_words", "pos", before.alias("before"),
+        F.slice("words", F.col("pos") - before + 1, BEFORE + WINDOW).alias("around"),
+        shingle.alias("shingle"),
     )
-    wanted = candidates.join(ranked.select("window", "offset", "shingle"), "window").select(
-        "doc_id", "text_hash", "window", "size", "width", "start",
-        (F.col("start") + F.col("offset")).alias("pos"), "shingle",
+
+
+def frequencies(docs: DataFrame, shingles: DataFrame, widths: list[int]) -> DataFrame:
+    """How often each of the shingles stands in the corpus, 0 left out."""
+    known = stage(shingles.select("shingle").distinct(), "benchmark-shingles")
+    return (
+        positions(docs, widths).select("shingle").join(known, "shingle")
+        .groupBy("shingle").agg(F.count(F.lit(1)).alias("frequency"))
     )
-    there = matches.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"),
-                           F.col("pos").alias("p"), F.col("shingle").alias("s"))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
-        & (F.col("pos") == F.col("p")) & (F.col("shingle") == F.col("s"))
+
+
+def prefixes(docs: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
+    """The rarest shingle of each window (ties: the first) that may occur at all."""
+    placed = stage(window_shingles(windows), "window-shingles")
+    counted = stage(frequencies(docs, placed, widths), "shingle-frequencies")
+    return (
+        placed.join(counted, "shingle", "left")
+        .groupBy("window", "size").agg(F.min(F.struct(
+            F.coalesce("frequency", F.lit(0)).alias("frequency"), "offset", "shingle",
+        )).alias("rarest"))
+        .where("rarest.frequency > 0")
+        .select("window", "size", "rarest.offset", "rarest.shingle")
     )
-    whole = F.col("size") - F.col("width") + 1
-    verified = (
-        wanted.join(there, same)
-        .groupBy("doc_id", "text_hash", "start", "size", "width", "window")
-        .agg(F.count(F.lit(1)).alias("held")).where(F.col("held") == whole)
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every place where a window occurs: doc_id, text_hash, n_words, start (from 0), size, window.
+
+    Besides one row of size 0 for every document, with the empty window at its end.
+    """
+    windows = stage(item_windows(benchmark).select("window", "size").distinct(), "windows")
+    widths = sorted(row["width"] for row in windows.select(
+        F.least(F.lit(SHINGLE), "size").alias("width")).distinct().collect())  # at most SHINGLE
+    widths = widths or [SHINGLE]
+    nothing = F.array().cast("array<string>")
+    end = docs.sparkSession.range(1, numPartitions=1).select(
+        nothing.alias("window"), F.lit(0).alias("size"), F.lit(0).alias("offset"),
+        F.xxhash64(nothing).alias("shingle"))
+    wanted = stage(prefixes(docs, windows, widths).union(end), "prefix-shingles")
+    start = F.col("pos") - F.col("offset")
+    inside = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    there = F.slice("around", F.col("before") - F.col("offset") + 1, F.col("size"))
+    found = positions(docs, widths).join(wanted, "shingle").where(
+        F.when(inside, there == F.col("window")))
+    return stage(found.select(*KEY, "n_words", start.alias("start"), "size", "window"),
+                 "occurrences")
+
+
+def covered(places: DataFrame) -> DataFrame:
+    """Words hit per document: the length of the union of its windows."""
+    earlier = Window.partitionBy(*KEY).orderBy("start", "size").rowsBetween(
+        Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("size")
+    fresh = end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(earlier), F.lit(0)))
+    return (
+        places.select(*KEY, "start", "size").distinct()
+        .select(*KEY, F.greatest(fresh, F.lit(0)).alias("fresh"))
+        .groupBy(*KEY).agg(F.sum("fresh").alias("n_hit"))
     )
-    return stage(verified.select("doc_id", "text_hash", "start", "size", "window"), "occurrences")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: words, words hit, items with occurring windows and their ids."""
-    places = occurrences(docs, benchmark)
-    key = ["doc_id", "text_hash"]
-    hits = (
-        places.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))
-                      .alias("word")).distinct()
-        .groupBy(*key).agg(F.count(F.lit(1)).alias("n_hit"))
-    )
+    found = occurrences(docs, benchmark)
+    places = found.where("size > 0")
     items = (
-        places.select(*key, "window").distinct().join(item_windows(benchmark), "window")
-        .groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    )
-    named = lambda frame, side: frame.withColumnsRenamed(
-        {"doc_id": f"{side}_id", "text_hash": f"{side}_hash"})
-    sized = docs.select(
-        "doc_id", F.xxhash64(full_text()).alias("text_hash"),
-        F.regexp_count(ascii_lower(full_text()), F.lit(WORD)).cast("long").alias("n_words"),
-    )
-    match = lambda side: (
-        F.col("doc_id").eqNullSafe(F.col(f"{side}_id")) & (F.col("text_hash") == F.col(f"{side}_hash"))
-    )
-    joined = (
-        sized.join(named(stage(hits, "hits"), "h"), match("h"), "left")
-        .join(named(stage(items, "hit-items"), "i"), match("i"), "left")
+        places.select(*KEY, "window").distinct().join(item_windows(benchmark), "window")
+        .groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     )
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    named = {"doc_id": "d", "text_hash": "t"}
+    hits = stage(covered(places).join(items.withColumnsRenamed(named), same).select(
+        F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "n_hit", "items"), "hits")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(
-        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), listed.alias("items"),
+    return found.where("size = 0").join(hits, same, "left").select(
+        *KEY, F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+        listed.alias("items"),
         ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
