@@ -102,9 +102,14 @@ def passages(scored: list[tuple[int, float]], rest: float) -> list[tuple[int, in
     return [(first, last, right - left) for first, last, left, right, _ in stack]
 
 
+def lowered(text: str | None) -> list[str]:
+    """The words of a text, each in lower case, so that their places are those of the text."""
+    return list(map(str.lower, WORD.findall(text or "")))
+
+
 def scan(text: str | None, scores: Scores, rest: float) -> tuple[int, list[tuple[int, int, float]]]:
     """Number of tokens, and the passages as token positions."""
-    words = WORD.findall((text or "").lower())
+    words = lowered(text)
     values = list(map(scores.__getitem__, words))
     return len(words), damped(words, values, rest)
 
@@ -129,22 +134,53 @@ def damped(words: list[str], values: list[float], rest: float) -> list[tuple[int
 def best_window(words: list[str], hits: list[tuple[int, float]], rest: float) -> float:
     """The largest score of a window of tokens in which each word scores once.
 
-    A window starts at the last use of one of its words; words are kept by last use.
+    What a window is worth depends on the hit it starts at. A hit adds its score to every
+    start after the last use of its word. That never sets an earlier start above a later one
+    again, so starts that a later one has come up to are dropped, once each. The rest lie in
+    falling order, linked, each with its lead over the next; an added score shortens one lead.
     """
-    uses: dict[str, tuple[float, int]] = {}  # score, neutral tokens before it
-    best, whole = 0.0, 0.0
+    before: list[int] = []  # the next earlier start that is left
+    lead: list[float] = []  # of that start over this one
+    later: list[int] = []  # itself while it is left, else one that has come up to it
+    used: dict[str, int] = {}
+    best, top, last = 0.0, 0.0, 0.0  # values of the first and of the latest start left
+
+    def left(start: int) -> int:
+        while later[start] != start:
+            later[start] = later[later[start]]
+            start = later[start]
+        return start
+
+    def settle(start: int) -> None:
+        """Drop the starts before this one that it has come up to."""
+        nonlocal top
+        while before[start] >= 0 and lead[start] <= 0:
+            gone = before[start]
+            later[gone] = start
+            before[start] = before[gone]
+            if before[start] < 0:
+                top -= lead[start]
+            else:
+                lead[start] += lead[gone]
+
     for n, (position, score) in enumerate(hits):
-        if uses.pop(words[position], None) is None:
-            whole += score
         neutral = position - n
-        uses[words[position]] = (score, neutral)
-        total = 0.0
-        for value, before in reversed(uses.values()):
-            gaps = rest * (neutral - before)
-            if whole + gaps <= best:
-                break
-            total += value
-            best = max(best, total + gaps)
+        value = -rest * neutral
+        before.append(n - 1 if n else -1)
+        lead.append(last - value)
+        later.append(n)
+        if not n:
+            top = value
+        settle(n)
+        first = left(used.get(words[position], -1) + 1)
+        if before[first] < 0:
+            top += score
+        else:
+            lead[first] -= score
+            settle(first)
+        last = value + score
+        used[words[position]] = n
+        best = max(best, top + rest * neutral)
     return best
 
 
@@ -162,7 +198,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for label, texts in batch.groupby("label")["text"]:
             counts: Counter[str] = Counter()
             for text in texts:
-                counts.update(set(WORD.findall(text.lower())))
+                counts.update(set(lowered(text)))
             yield pd.DataFrame({"term": pd.Series(list(counts), dtype=object),
                                 "label": int(label), "n": list(counts.values())})
 
@@ -262,7 +298,7 @@ def calibrate(texts: DataFrame, model: Model) -> None:
         for batch in batches:
             out = []
             for text, label in zip(batch["text"], batch["label"]):
-                words = WORD.findall(text.lower())
+                words = lowered(text)
                 values = [scores[word] for word in words]
                 found = damped(words, values, rest)
                 out.append((int(label), len(words), [p[2] for p in found],
@@ -333,13 +369,11 @@ def scorer(model: Model):
             value = 1 / (1 + math.exp(-max(min(logit, 30.0), -30.0)))
             spans = []
             if found:
-                lowered = text.lower()
-                same = len(lowered) == len(text)
-                ends = [m.span() for m in WORD.finditer(lowered if same else text)]
+                places = [m.span() for m in WORD.finditer(text)]
                 for first, last, total in found:
                     e = math.exp(min(model.log_k + math.log(tokens) - model.slope * total, 500.0))
-                    if e < 1 and last < len(ends):
-                        spans.append({"start": ends[first][0], "end": ends[last][1],
+                    if e < 1:
+                        spans.append({"start": places[first][0], "end": places[last][1],
                                       "score": float(total), "e_value": e})
             out.append((value, tokens, spans))
         return pd.DataFrame(out, columns=["score", "tokens", "passages"])

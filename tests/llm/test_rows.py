@@ -280,6 +280,41 @@ def test_best_window_matches_brute_force():
         assert toxicity.best_window(words, hits, -0.2) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("between", ["", " calm calm calm"])
+def test_best_window_is_linear(between):
+    """100,000 different words, each used twice, with and without neutral tokens between."""
+    import time
+    terms = [f"w{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{'x' * (i // 17576)}"
+             for i in range(100_000)]
+    text = " ".join(term + between for term in terms + terms)
+    began = time.process_time()
+    _, found = toxicity.scan(text, toxicity.Scores(dict.fromkeys(terms, 0.5)), -0.1)
+    assert time.process_time() - began < 20
+    whole = 0.5 * len(terms) - 0.1 * 3 * bool(between) * (len(terms) - 1)
+    assert len(found) == 1 and found[0][2] == pytest.approx(whole, rel=1e-6)
+
+
+def test_passages_keep_their_places_when_lower_case_is_longer():
+    text = "\u0130\u0130 calm \u0130vile bad"
+    model = toxicity.Model({"bad": 30.0}, -0.1, log_k=-2.0)
+    got = toxicity.scorer(model).func(__import__("pandas").Series([text, "bad"]))
+    assert [[(p["start"], p["end"]) for p in row] for row in got["passages"]] == [[(14, 17)], [(0, 3)]]
+
+
+def test_log_odds_and_slope_against_plain_numbers(spark):
+    import math
+    frame = spark.createDataFrame([("a", 9, 1), ("b", 0, 40)], "term string, ones long, zeros long")
+    rows = toxicity.log_odds(frame, "ones", "zeros", {"ones": 50, "zeros": 150}).collect()
+    for r in rows:
+        one, zero = r["ones"] + 5 * 0.25, r["zeros"] + 5 * 0.75
+        want = math.log(one / zero) - math.log(50 / 150)
+        assert r["log_odds"] == pytest.approx(want)
+        assert r["z"] == pytest.approx(want / math.sqrt(1 / one + 1 / zero))
+    slope = toxicity.solve_slope(Counter({2.0: 10.0, 0.5: 30.0, -0.1: 2000.0}), -0.1)
+    whole = sum(n * math.exp(slope * s) for s, n in ((2.0, 10), (0.5, 30), (-0.1, 2000)))
+    assert slope > 0.01 and whole / 2040 == pytest.approx(1, abs=1e-6)
+
+
 def test_training_pages_are_different_pages(spark):
     """Copies neither crowd out other pages nor let the sample come out empty."""
     page = lambda n: f"<html><body><nav>menu {n}</nav><article><p>{prose(n, 40)}</p></article></body></html>"
