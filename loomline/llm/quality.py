@@ -6,12 +6,14 @@ and weighted by rarity. Latent-semantic vectors are the leading singular directi
 the labelled texts. At most `max_labelled` labelled vectors of `LATENT` numbers are
 broadcast: a fixed bound, however large the corpus. Every document is compared with
 every labelled one by exact cosine products, a block of documents at a time; the
-`NEIGHBOURS` nearest vote with weights that grow with their similarity.
+`NEIGHBOURS` nearest vote with weights that grow with their similarity. Vectors are
+rounded to whole multiples of 2^-`BITS`, so products and sums are whole numbers that a
+double holds: they do not depend on the block or on the order of addition.
 
 Null and empty texts have a term of their own, so they are compared like any other.
 A text similar to none gets the share of label 1 among the labelled; without labelled
 rows that is 0.5. Equal texts get equal scores. Ties in similarity go to the labelled
-text that comes first by hash.
+text that comes first by hash, of equal texts to label 0.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ WORD_WEIGHT = 0.3
 LATENT = 48
 NEIGHBOURS = 25
 SHARPNESS = 8
+BITS = 20  # of a whole vector: sums of its products stay below 2^53
 BLOCK = 256
 CACHE = 1 << 17
 RUN = re.compile(r"(.)\1+", re.S)
@@ -103,8 +106,8 @@ def unpacked(data: bytes) -> np.ndarray:
 @dataclass
 class Model:
     weights: np.ndarray  # rarity of terms
-    axes: np.ndarray  # WIDTH x LATENT
-    vectors: np.ndarray  # labelled documents, unit length
+    axes: np.ndarray  # WIDTH x LATENT, whole
+    vectors: np.ndarray  # labelled documents, unit length, whole
     labels: np.ndarray
     share: float
 
@@ -122,8 +125,18 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
+def whole(rows: np.ndarray) -> np.ndarray:
+    """Multiples of 2^-BITS as whole numbers in doubles."""
+    return np.rint(rows.astype(np.float64) * (1 << BITS))
+
+
+def latent(rows: np.ndarray, weights: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors of counted texts, whole."""
+    return whole(unit(whole(weighted(rows, weights)) @ axes))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
-        max_labelled: int = 5000) -> Model | None:
+        max_labelled: int = 6000) -> Model | None:
     texts = training_texts(docs, labels, label, max_labelled)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,16 +157,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
     weights = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + 0.1
     scaled = weighted(matrix, weights)
     values, vectors = np.linalg.eigh((scaled.T @ scaled).astype(np.float64))
-    axes = vectors[:, np.argsort(values)[::-1][:LATENT]].astype(np.float32)
-    return Model(weights, axes, unit(scaled @ axes), known, float(known.mean()))
+    axes = whole(vectors[:, np.argsort(values)[::-1][:LATENT]])
+    del scaled
+    known_vectors = [latent(matrix[at:at + BLOCK], weights, axes)
+                     for at in range(0, len(matrix), BLOCK)]
+    return Model(weights, axes, np.concatenate(known_vectors), known, float(known.mean()))
 
 
 def votes(rows: np.ndarray, model: Model) -> np.ndarray:
     """Similarity-weighted share of label 1 among the nearest labelled vectors."""
-    cosines = unit(weighted(rows, model.weights) @ model.axes) @ model.vectors.T
-    k = min(NEIGHBOURS, cosines.shape[1])
-    nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    near = np.maximum(np.take_along_axis(cosines, nearest, axis=1), 0.0).astype(np.float64)
+    products = latent(rows, model.weights, model.axes) @ model.vectors.T
+    count = products.shape[1]
+    k = min(NEIGHBOURS, count)
+    # One number orders by product and then by place, so no two are equal.
+    order = products.astype(np.int64) * -count + np.arange(count)
+    nearest = np.sort(np.argpartition(order, k - 1, axis=1)[:, :k], axis=1)
+    near = np.maximum(np.take_along_axis(products, nearest, axis=1), 0.0) / (1 << 2 * BITS)
     weight = near ** SHARPNESS
     total = weight.sum(axis=1)
     vote = (weight * model.labels[nearest]).sum(axis=1)
