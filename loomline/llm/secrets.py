@@ -3,15 +3,19 @@
 Fixed patterns find assignments, access keys and long hexadecimal runs. Two character
 Markov models, blind to case, are trained on labelled samples that the corpus itself gives: values of
 fixed-pattern matches are random strings, other words of a sample of documents are
-ordinary identifiers. A long token is a secret too if the log-likelihood ratio of its
-transitions under the two models exceeds the log of their frequencies' ratio by
-`MARGIN`, and is at least `LEAST_MEAN` per transition. Such spans are added where no fixed match overlaps them; fixed ones stay.
+ordinary identifiers. A token of `LONG` characters or more is a secret too if the
+log-likelihood ratio of its transitions under the two models exceeds the log of their
+frequencies' ratio by `MARGIN`, and is at least `LEAST_MEAN` per transition. Such spans
+are added where no fixed match overlaps them; fixed ones stay. Shorter tokens are found by
+fixed patterns only. The frequencies are those of long tokens and of long fixed values in
+all documents, counted by occurrences: they grow alike, so a larger corpus of the same kind
+judges a text alike.
 
 Everything is DataFrame operations. A text is scanned by each pattern once; only texts
 with matches are cut at them to get positions, in code points. Matches are narrow rows;
 texts are never shuffled. Training takes at most `sample_values` matched values and
 `sample_docs` documents, both chosen by hash; the model is a table of at most
-42 x 42 ratios. Fixed matches are counted over all documents.
+42 x 42 ratios.
 
 Null texts are empty. Rows equal in doc_id and text get equal results. Without random
 samples the random model is uniform, and the same rule holds.
@@ -34,6 +38,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # a run is a whole match, so the length may stand in the pattern
 KINDS = [("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16)]
 
+LONG = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{8,}"
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -89,9 +94,8 @@ def sign_pairs(token: Column) -> Column:
 
 
 def transition_ratios(docs: DataFrame, base: DataFrame, sample_docs: int,
-                      sample_values: int) -> tuple[list[float], float]:
-    """Log-likelihood ratios of transitions, random against ordinary; and the log of how
-    many times more ordinary tokens than random ones there are."""
+                      sample_values: int) -> list[float]:
+    """Log-likelihood ratios of transitions, random against ordinary."""
     values = hash_sample(base.select("value").distinct(), F.col("value"), sample_values)
     texts = hash_sample(docs.select("doc_id", full_text().alias("text")),
                         F.struct("doc_id", "text"), sample_docs)
@@ -106,7 +110,6 @@ def transition_ratios(docs: DataFrame, base: DataFrame, sample_docs: int,
     pairs = samples.where(F.length("value") > 1).select(
         "random", F.explode(sign_pairs(F.col("value"))).alias("pair"))
     counted = pairs.groupBy("random", "pair").count().collect()  # at most 2 x SIGNS x SIGNS rows
-    sizes = {row["random"]: row["count"] for row in samples.groupBy("random").count().collect()}
     tables = {side: [0.0] * (SIGNS * SIGNS) for side in (0, 1)}
     for row in counted:
         tables[row["random"]][row["pair"]] += row["count"]
@@ -124,20 +127,27 @@ def transition_ratios(docs: DataFrame, base: DataFrame, sample_docs: int,
             prior = share[after] if known else 1 / SIGNS
             plain = (rows[0][after] + BACKOFF * prior) / (total[0] + BACKOFF)
             ratios.append(math.log(random / plain))
-    odds = math.log((sizes.get(0, 0) + 1) / (sizes.get(1, 0) + 1))
-    return ratios, max(odds, 0.0)
+    return ratios
+
+
+def frequency_odds(tokens: DataFrame, base: DataFrame) -> float:
+    """Log of how many times more long tokens than long fixed values all documents hold."""
+    random = base.where(F.length("value") >= LONG).count()
+    ordinary = max(tokens.count() - random, 0)
+    return max(math.log((ordinary + 1) / (random + 1)), 0.0)
 
 
 def find_secrets(docs: DataFrame, sample_docs: int = 2000,
                  sample_values: int = 20_000) -> DataFrame:
     """Spans (doc_id, text_hash, kind, rank, start, end): fixed ones and random strings."""
     base = stage(placed(docs, KINDS, 0), "fixed-secrets")
-    ratios, odds = transition_ratios(docs, base, sample_docs, sample_values)
+    ratios = transition_ratios(docs, base, sample_docs, sample_values)
     table = literal_array([round(ratio, 6) for ratio in ratios], "double")
     likely = F.aggregate(sign_pairs(F.col("value")), F.lit(0.0),
                          lambda total, pair: total + F.element_at(table, pair + 1))
-    tokens = placed(docs, [("random", CANDIDATE, 0, 16)], len(KINDS))
-    enough = F.greatest(F.lit(odds + MARGIN), LEAST_MEAN * (F.length("value") - 1))
+    tokens = stage(placed(docs, [("random", CANDIDATE, 0, LONG)], len(KINDS)), "long-tokens")
+    enough = F.greatest(F.lit(frequency_odds(tokens, base) + MARGIN),
+                        LEAST_MEAN * (F.length("value") - 1))
     random = tokens.where(likely > enough)
     fixed = base.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"),
                         F.col("start").alias("s"), F.col("end").alias("e"))
