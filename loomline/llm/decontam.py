@@ -15,8 +15,8 @@ Windows with a shingle that stands nowhere are never joined. Shingles are joined
 their hash; what the hash lets through falls to the verification, and a wrong count
 would only change the order. The same scan brings each document's number of words: the
 empty window stands once at the end of every text. Texts never leave the task that
-reads them while the tables of shingles are small enough for Catalyst to broadcast by
-their size in bytes; beyond that positions are shuffled with at most 21 words each.
+reads them: the tables of shingles are broadcast in blocks of at most `BLOCK_BYTES`,
+measured; a benchmark of several blocks is one more read of the texts for each.
 
 Null texts have no words. A null item_id is the empty string in the list of ids. Rows
 equal in doc_id and text get equal results. An empty benchmark contaminates nothing.
@@ -24,6 +24,8 @@ equal in doc_id and text get equal results. An empty benchmark contaminates noth
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomline.llm.tables import ascii_lower, free_name, full_text
@@ -34,6 +36,8 @@ SHINGLE = 5
 SHARE = 20
 BEFORE = WINDOW - SHINGLE  # words of a window that can precede its rarest shingle
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BLOCK_BYTES = 32 << 20
+ROW_BYTES = 40  # of a row beside its words
 KEY = ["doc_id", "text_hash"]
 
 
@@ -42,7 +46,7 @@ def words_of(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Distinct (item_id, window, size) with the window as an array of words."""
+    """Distinct (item_id, window, size) with the words of a window joined by spaces."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
         words_of(full_text()).alias("words"),
@@ -51,7 +55,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(1), F.size("words") - size + 1)
     cut = items.select("item_id", "words", size.alias("size"), F.explode(starts).alias("at"))
     return cut.select(
-        "item_id", F.slice("words", F.col("at"), F.col("size")).alias("window"), "size"
+        "item_id", F.array_join(F.slice("words", F.col("at"), F.col("size")), " ").alias("window"),
+        "size",
     ).distinct()
 
 
@@ -62,7 +67,15 @@ def window_shingles(windows: DataFrame) -> DataFrame:
         "window", "size", width.alias("width"),
         F.explode(F.sequence(F.lit(0), F.col("size") - width)).alias("offset"))
     return placed.select("window", "size", "width", "offset", F.xxhash64(
-        F.slice("window", F.col("offset") + 1, F.col("width"))).alias("shingle"))
+        F.slice(F.split("window", " "), F.col("offset") + 1, F.col("width"))).alias("shingle"))
+
+
+def blocks(df: DataFrame, row_bytes: Column, key: str) -> list[DataFrame]:
+    """The rows of a staged table as broadcasts of at most about `BLOCK_BYTES` each."""
+    total = df.agg(F.sum(row_bytes).alias("bytes")).first()["bytes"] or 0
+    count = -(-total // BLOCK_BYTES) or 1
+    part = F.pmod(F.xxhash64(key), F.lit(count))
+    return [F.broadcast(df.where(part == at) if count > 1 else df) for at in range(count)]
 
 
 def positions(docs: DataFrame, widths: list[int]) -> DataFrame:
@@ -89,10 +102,10 @@ def positions(docs: DataFrame, widths: list[int]) -> DataFrame:
 def frequencies(docs: DataFrame, shingles: DataFrame, widths: list[int]) -> DataFrame:
     """How often each of the shingles stands in the corpus, 0 left out."""
     known = stage(shingles.select("shingle").distinct(), "benchmark-shingles")
-    return (
-        positions(docs, widths).select("shingle").join(known, "shingle")
-        .groupBy("shingle").agg(F.count(F.lit(1)).alias("frequency"))
-    )
+    met = [positions(docs, widths).select("shingle").join(block, "shingle")
+           for block in blocks(known, F.lit(ROW_BYTES), "shingle")]
+    return reduce(DataFrame.union, met).groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("frequency"))
 
 
 def prefixes(docs: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
@@ -118,18 +131,21 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = sorted(row["width"] for row in windows.select(
         F.least(F.lit(SHINGLE), "size").alias("width")).distinct().collect())  # at most SHINGLE
     widths = widths or [SHINGLE]
-    nothing = F.array().cast("array<string>")
     end = docs.sparkSession.range(1, numPartitions=1).select(
-        nothing.alias("window"), F.lit(0).alias("size"), F.lit(0).alias("offset"),
-        F.xxhash64(nothing).alias("shingle"))
+        F.lit("").alias("window"), F.lit(0).alias("size"), F.lit(0).alias("offset"),
+        F.xxhash64(F.array().cast("array<string>")).alias("shingle"))
     wanted = stage(prefixes(docs, windows, widths).union(end), "prefix-shingles")
     start = F.col("pos") - F.col("offset")
     inside = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
-    there = F.slice("around", F.col("before") - F.col("offset") + 1, F.col("size"))
-    found = positions(docs, widths).join(wanted, "shingle").where(
-        F.when(inside, there == F.col("window")))
-    return stage(found.select(*KEY, "n_words", start.alias("start"), "size", "window"),
-                 "occurrences")
+    there = F.array_join(
+        F.slice("around", F.col("before") - F.col("offset") + 1, F.col("size")), " ")
+    found = [
+        positions(docs, widths).join(block, "shingle")
+        .where(F.when(inside, there == F.col("window")))
+        .select(*KEY, "n_words", start.alias("start"), "size", "window")
+        for block in blocks(wanted, F.octet_length("window") + ROW_BYTES, "window")
+    ]
+    return stage(reduce(DataFrame.union, found), "occurrences")
 
 
 def covered(places: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from loomline.llm import components, decontam, simhash, weighted
@@ -110,7 +111,11 @@ def plain_contamination(texts, items):
     return Counter(out)
 
 
-def test_contamination(spark, documents):
+@pytest.mark.parametrize("block", [None, 2000])
+def test_contamination(spark, documents, monkeypatch, block):
+    """In one block, and in several blocks of the benchmark."""
+    if block:
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
     short = documents.where("length(text) < 5000 OR text IS NULL")
     texts = [(r["doc_id"], r["text"]) for r in short.select("doc_id", "text").collect()]
     sample = dict(texts)
