@@ -97,13 +97,13 @@ def page_of_results(spark, sf_dir):
 
 def page_boundaries(spark, sf_dir):
     """Where every page of the whole clean catalogue begins."""
-    rows = cleaned(spark, sf_dir).select(*TOTAL_ORDER)
+    rows = cleaned(spark, sf_dir, TOTAL_ORDER).select(*TOTAL_ORDER)
     return ordinals.page_boundaries(rows, TOTAL_ORDER)
 
 
 def deep_page(spark, sf_dir):
     """The page in the middle of the whole clean catalogue."""
-    rows = stage(cleaned(spark, sf_dir).select(*TOTAL_ORDER)
+    rows = stage(cleaned(spark, sf_dir, TOTAL_ORDER).select(*TOTAL_ORDER)
                  .repartitionByRange("price").sortWithinPartitions("price"), "by-price")
     boundaries = stage(ordinals.page_boundaries(rows, TOTAL_ORDER), "boundaries")
     return ordinals.seek_page(rows, TOTAL_ORDER, boundaries, boundaries.count() // 2 + 1)
@@ -115,7 +115,7 @@ def page_count(spark, sf_dir):
 
 def result_ordinal(spark, sf_dir):
     numbered = ordinals.number_rows(
-        cleaned(spark, sf_dir).select(*TOTAL_ORDER), [F.col(name) for name in TOTAL_ORDER]
+        cleaned(spark, sf_dir, TOTAL_ORDER).select(*TOTAL_ORDER), [F.col(name) for name in TOTAL_ORDER]
     )
     return numbered.withColumn("card", ordinals.card_number(F.col("position")))
 

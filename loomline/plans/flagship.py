@@ -8,9 +8,12 @@ from loomline.plans.fixtures import CLEAN_SQL, FIRST_SEEN
 from loomline.sources import tables
 
 
+BRAND_SEEN = FIRST_SEEN[:4]  # as far as the brand of the first row depends on it
+
+
 def flagship(spark, sf_dir):
-    rows = cleaning.outliers_removed(cleaned_once(spark, sf_dir))
-    stored = tables.insert_if_absent(rows, None, FIRST_SEEN)
+    rows = cleaning.outliers_removed(cleaned_once(spark, sf_dir, ["url", *BRAND_SEEN]))
+    stored = tables.insert_if_absent(rows, None, BRAND_SEEN)
     return reports.brand_counts(stored)
 
 

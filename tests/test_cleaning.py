@@ -142,3 +142,17 @@ def test_exports(spark, tmp_path):
     tables.log_search(spark, str(tmp_path / "log"), "US", "hoodie")
     tables.log_search(spark, str(tmp_path / "log"), "US", "dress")
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_first_rows_carry_only_what_is_shown(spark):
+    """Columns compared after the last one shown are not shuffled; the shown ones stay the same."""
+    rows = spark.createDataFrame(
+        [(n % 3, n % 2, "ab"[n % 2], str(n), None if n % 4 else "x") for n in range(24)],
+        "k int, at int, a string, b string, c string")
+    whole = dedup.first_wins(rows, ["k"], ["at"])
+    for shown in (["k"], ["k", "a"], ["a", "c"], ["k", "at"], ["b"]):
+        part = dedup.first_wins(rows, ["k"], ["at"], shown)
+        assert part.columns == [name for name in rows.columns if name in shown]
+        assert sorted(map(str, part.collect())) == sorted(map(str, whole.select(*part.columns).collect()))
+    plan = dedup.first_wins(rows, ["k"], ["at"], ["k", "a"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct(at" in plan and "b, b" not in plan and "c, c" not in plan
