@@ -14,12 +14,14 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomline.sources.tables import table_or_none
-from loomline.staging import discard
+from loomline.staging import CODEC, discard
 
 
-def append_delta(changes: DataFrame, path: str, epoch: int, by: str | None = None) -> None:
-    writer = changes.write.mode("overwrite")
+def append_delta(changes: DataFrame, path: str, epoch: int, by: str | None = None) -> DataFrame:
+    """Write the changes of an epoch; a scan of what was written, so that no copy is needed."""
+    writer = changes.write.mode("overwrite").option("compression", CODEC)
     (writer.partitionBy(by) if by else writer).parquet(f"{path}/delta/epoch={epoch}")
+    return changes.sparkSession.read.schema(changes.schema).parquet(f"{path}/delta/epoch={epoch}")
 
 
 def snapshot(spark: SparkSession, path: str) -> int:
@@ -52,9 +54,9 @@ def compact(spark: SparkSession, path: str, epoch: int, fold: Callable[[DataFram
         return
     merged = fold(rows.where(F.col("epoch") <= epoch))
     if by:
-        merged.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(f"{path}/base/upto={epoch}")
-    else:
-        merged.write.mode("overwrite").parquet(f"{path}/base/upto={epoch}")
+        merged = merged.hint("rebalance", by)
+    writer = merged.write.mode("overwrite").option("compression", CODEC)
+    (writer.partitionBy(by) if by else writer).parquet(f"{path}/base/upto={epoch}")
     spark.range(1).select(F.lit(epoch).cast("long").alias("upto")).write.mode("append").parquet(f"{path}/commits")
     for old in range(before + 1, epoch + 1):
         discard(spark, f"{path}/delta/epoch={old}")

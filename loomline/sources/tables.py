@@ -9,7 +9,6 @@ from loomline.functions.text import as_json_list
 from loomline.operators.dedup import first_wins, fresh, latest_wins
 from loomline.operators.reports import probe_results, probe_summary
 from loomline.schemas import EXPORT_COLUMNS, STORED_COLUMNS
-from loomline.staging import stage
 
 
 def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -67,14 +66,13 @@ def append_new(batch: DataFrame, path: str, order: list[str], key: str = "url",
     fingerprint of their key (the key itself is what is unique), and the time of storing.
     """
     spark = batch.sparkSession
-    first = stage(first_wins(batch, [key], order).withColumn("bucket", key_bucket(key, buckets)),
-                  "first-of-key")
+    bucket = key_bucket(key, buckets).alias("bucket")
+    first = first_wins(batch, [key], order)
     target = table_or_none(spark, path)
-    if target is not None:
-        known = target.where(F.col("bucket").isin(touched(first))).select("bucket", key)
-        first = first.join(known, ["bucket", key], "left_anti")
+    if target is not None:  # joined by the key alone, by which the rows lie already
+        first = fresh(first, target.where(F.col("bucket").isin(touched(batch.select(bucket)))), key)
     (
-        first.withColumns({"id": F.xxhash64(key), "scraped_at": F.current_timestamp()})
+        first.select("*", bucket).withColumns({"id": F.xxhash64(key), "scraped_at": F.current_timestamp()})
         .select("id", *STORED_COLUMNS, "scraped_at", "bucket").hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "country").write.mode("append")
         .option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("bucket").parquet(path)

@@ -10,7 +10,6 @@ from loomline.operators.dedup import first_wins, fresh
 from loomline.sources.deltas import append_delta, compact, read_state
 from loomline.sources.tables import KEY_BUCKETS, key_bucket, touched
 from loomline.sources.topic import ARRIVAL, decode
-from loomline.staging import stage
 
 COMPACT_EVERY = 20
 
@@ -31,16 +30,13 @@ def start_live_run(messages: DataFrame, cached: DataFrame, folder: str, checkpoi
     def load(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         order = [name for name in ARRIVAL if name in batch.columns] or ["brand", "title", "price"]
-        rows = usable(batch)
-        first = stage(first_wins(rows, ["url"], order).withColumn("bucket", key_bucket("url", buckets)),
-                      "live-first")
-        new = fresh(first, cached)
+        rows, bucket = usable(batch), key_bucket("url", buckets).alias("bucket")
+        new = fresh(first_wins(rows, ["url"], order), cached)
         known = read_state(spark, f"{folder}/rows")
-        if known is not None:
-            known = known.where(F.col("bucket").isin(touched(first)) & (F.col("epoch") < epoch))
-            new = new.join(known.select("bucket", "url"), ["bucket", "url"], "left_anti")
-        new = stage(new, "live-new")
-        append_delta(new, f"{folder}/rows", epoch, by="bucket")
+        if known is not None:  # joined by url alone, by which the rows lie already
+            known = known.where(F.col("bucket").isin(touched(rows.select(bucket))) & (F.col("epoch") < epoch))
+            new = fresh(new, known)
+        new = append_delta(new.select("*", bucket), f"{folder}/rows", epoch, by="bucket")
         one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
         counted = rows.select("brand", one.alias("found"), none.alias("new")).unionByName(
             new.select("brand", none.alias("found"), one.alias("new")))

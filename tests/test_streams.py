@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 from loomline.operators import cleaning, dedup
 from loomline.sources import tables, topic
 from loomline.streaming import cleaner, live, outcomes
+from loomline.plans import streams
+from loomline.sources.deltas import append_delta
 from tests.test_cleaning import listings
 
 ONCE = {"availableNow": True}
@@ -189,3 +191,36 @@ def test_progress_of_a_live_run(spark, tmp_path):
         counts = {r.brand: (r.found, r.new) for r in live.read_progress(spark, folder).collect()}
         assert counts == {"a": (4, 2), "b": (4, 2), None: (1, 1)}
         assert sorted(r.url for r in live.read_live(spark, folder).collect()) == ["u1", "u2", "u3", "u4", "u9"]
+
+
+def test_a_batch_of_any_number_of_files_arrives_as_one(spark, tmp_path, monkeypatch):
+    rows = listings(spark, [dict(url=f"u{n}") for n in range(30)]).withColumn(
+        "id", F.substring("url", 2, 9).cast("long")).repartition(7)
+    monkeypatch.setattr(streams, "listings", lambda spark, sf_dir: rows)
+    seen = []
+
+    def start(records):
+        def note(batch, epoch):
+            seen.append((epoch, sorted(row.offset for row in batch.collect())))
+
+        return (records.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "progress"))
+                .trigger(availableNow=True).start())
+
+    streams.arrive(spark, "", start)
+    assert seen == [(batch, [n for n in range(30) if n % 3 == batch]) for batch in range(3)]
+
+
+def test_messages_are_packed_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "messages")
+    monkeypatch.setattr(streams, "scratch_path", lambda spark, label: path)
+    monkeypatch.setattr(streams, "PER_FILE", 10)
+    streams.messages(spark, spark.range(95).select(F.col("id").cast("string").alias("value")), "x")
+    assert len(list((tmp_path / "messages").glob("*.gz"))) >= 10
+    assert spark.read.text(path).distinct().count() == 95
+
+
+def test_a_delta_is_read_back_as_written(spark, tmp_path):
+    changes = spark.range(20).select("id", (F.col("id") % 3).cast("int").alias("bucket"))
+    written = append_delta(changes, str(tmp_path / "state"), 0, by="bucket")
+    assert sorted(map(tuple, written.collect())) == [(n, n % 3) for n in range(20)]
+    assert append_delta(changes.where("id < 0"), str(tmp_path / "state"), 1, by="bucket").isEmpty()
