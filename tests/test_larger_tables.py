@@ -3,12 +3,13 @@ from __future__ import annotations
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.operators import index
 from loomline.operators.dedup import first_wins
 from loomline.plans import search as searches
 from loomline.plans.cleaning import cleaned, stored
-from loomline.plans.fixtures import FIRST_SEEN
+from loomline.plans.fixtures import FIRST_SEEN, garments
 
 
 @pytest.fixture
@@ -47,3 +48,14 @@ def test_stored_listings_are_shuffled_once(spark, shops):
     assert plan.count("Exchange hashpartitioning") == 1
     want = first_wins(cleaned(spark, shops), ["url"], FIRST_SEEN).select("id", "url", "gender")
     assert sorted(rows.collect()) == sorted(want.collect()) and rows.count() == 5
+
+
+def test_garments_of_one_file_reach_all_tasks(spark, tmp_path):
+    spark.range(60000).selectExpr(
+        "id AS p_partkey", "concat('red widget ', sha2(CAST(id AS STRING), 512)) AS p_name", "'Brand#1' AS p_brand",
+        "'LARGE' AS p_type", "CAST(id % 50 AS INT) AS p_size", "CAST(id AS DOUBLE) AS p_retailprice",
+    ).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = garments(spark, str(tmp_path))
+    assert rows.where("title LIKE 'red widget %' AND p_partkey = p_retailprice").count() == 60000
+    spread = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 1 and max(row["count"] for row in spread) < 40000
