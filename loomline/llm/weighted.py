@@ -35,6 +35,7 @@ from loomline.staging import stage
 SHINGLE = 5
 ROUNDS = 64
 REACH = 12.0
+NEAR = REACH * (1 + 1e-9)  # what rounding could leave out is kept
 DIGITS = 4
 EMPTY = "." * DIGITS
 SPACE = r"[\x20\x09-\x0D]+"
@@ -123,9 +124,14 @@ def least_samples(terms: DataFrame) -> DataFrame:
     rounds = terms.select(*KEY, "side", "term", "weight", "total", F.explode(
         F.when(digest, F.array("weight")).otherwise(every)).alias("_round"))
     r_exp, c_exp, b = gammas()
-    if bounded and not some:  # a >= c exp(-r) / S and c >= 1 - exp(-c)
+    if bounded and not some:
+        # a >= c exp(-r) / S and c >= 1 - exp(-c). What passes is held against nearer bounds: for
+        # S = 1, a = c exp(-r (1 - b)), a geometric mean, which is at least the harmonic one; and
+        # c >= 2 (1 - exp(-c)) / (1 + exp(-c)).
         least = r_exp * (1 - c_exp) * F.col("total")
-        rounds = rounds.where(digest | (least <= REACH * F.col("weight")))
+        most = F.when(F.col("weight") == 1, 1 - b * (1 - r_exp)).otherwise(F.col("weight"))
+        rounds = rounds.where(digest | (
+            (least <= NEAR * F.col("weight")) & (2 * least <= NEAR * (1 + c_exp) * most)))
     drawn = rounds.withColumns({"_r": -F.log(r_exp), "_c": F.log(-F.log(c_exp)), "_b": b})
     timed = drawn.withColumn("_t", F.floor(F.log("weight") / F.col("_r") + F.col("_b")))
     rank = F.col("_c") - F.col("_r") * (F.col("_t") - F.col("_b") + 1)
