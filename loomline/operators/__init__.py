@@ -1 +1,7 @@
 """Operators: functions from DataFrames to DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
