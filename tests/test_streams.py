@@ -224,3 +224,24 @@ def test_a_delta_is_read_back_as_written(spark, tmp_path):
     written = append_delta(changes, str(tmp_path / "state"), 0, by="bucket")
     assert sorted(map(tuple, written.collect())) == [(n, n % 3) for n in range(20)]
     assert append_delta(changes.where("id < 0"), str(tmp_path / "state"), 1, by="bucket").isEmpty()
+
+
+def test_dedup_remembers_hashes_of_keys(spark, tmp_path):
+    """State holds two numbers a key, however long its texts; nulls are told apart by their column."""
+    long = "x" * 500
+    rows = [dict(url="u", brand=None, title="a"), dict(url="u", brand="a", title=None), dict(url="u", brand="", title="a"),
+            dict(url=long, brand="b"), dict(url=long + "y", brand="b"), dict(url=None, brand=None, title=None, price=2.0)]
+    send(listings(spark, rows * 3), str(tmp_path / "in"), 4)
+    for mode in ("watermark", "forever"):
+        progress, target = str(tmp_path / f"progress-{mode}"), str(tmp_path / f"out-{mode}")
+        source = topic.decode(topic.folder_stream(spark, str(tmp_path / "in"), files_per_batch=2))
+        distinct = cleaner.dedup_stream(source, mode=mode)
+        assert distinct.columns == source.columns
+        (distinct.writeStream.format("parquet").option("path", target).option("checkpointLocation", progress)
+         .trigger(**ONCE).start().awaitTermination())
+        got = spark.read.schema(source.schema).parquet(target).select("url", "brand", "title").collect()
+        want = listings(spark, rows).select("url", "brand", "title").collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        remembered = spark.read.format("statestore").load(progress)
+        assert remembered.count() == len(rows)
+        assert [kind for _, kind in remembered.select("key.*").dtypes] == ["bigint", "int"]
